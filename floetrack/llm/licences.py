@@ -113,7 +113,7 @@ def scan(docs: DataFrame, text: str = "text") -> DataFrame:
     made = ("n_sentences", "sentence_ids", "licences")
     kept = docs.drop(*made)
     table = F.create_map(*[F.lit(x) for pair in known().items() for x in pair])
-    parts = F.filter(F.transform(F.coalesce(sentences(F.col(text)), F.array().cast("array<string>")), F.trim), lambda s: s != "")
+    parts = F.filter(F.transform(F.coalesce(sentences(F.col(text)), F.array().cast("array<string>")), lambda s: F.trim(s)), lambda s: s != "")
     rows = kept.withColumn("_parts", parts)
     rows = rows.withColumn("sentence_ids", F.array_join(F.filter(F.transform("_parts", lambda s: table[s]), lambda x: x.isNotNull()), ","))
     framed = F.concat(F.lit(","), F.col("sentence_ids"), F.lit(","))

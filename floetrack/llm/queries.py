@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from floetrack.llm import hilbert, licences, mixing
+from floetrack.llm import decontaminate, hilbert, htmltext, langid, licences, media, mixing, pii
 
 DIMENSIONS = [("lang", "label"), ("source", "label"), ("size", "size")]
 
@@ -16,20 +16,48 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def held_out(key: str = "doc_id"):
+    """Whether a row is kept from training: the checksum of its id, as text, is divisible by five."""
+    return F.coalesce(F.crc32(F.col(key).cast("string").cast("binary")) % 5 == 0, F.lit(False))
+
+
+def op1_naive_bayes_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = langid.fit(docs.where(~held_out()))
+    return langid.predict(docs.select("doc_id", "text"), model).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+
+
+def op2_anchor_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(pii.detect(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
 def op4_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
     out = hilbert.shard(docs, dimensions=DIMENSIONS, n_shards=8, law="rows")
     return out.select("doc_id", "size", "text_crc32", "law", "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "cell")
 
 
+def op5_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = media.media_columns(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "shard", "start", "length", "width", "height")
+
+
 def op7_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.scan(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
 
 
+def op8_positional_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.report(decontaminate.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
+
+
 def op9_pfair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "source"))
 
 
+def op10_tag_path_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmltext.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html")).drop("html")
+
+
 OP9_SQL = """
 WITH RECURSIVE shares AS (
   SELECT source, greatest(round(1000.0::DOUBLE * sqrt(count(*)::DOUBLE) / sum(sqrt(count(*)::DOUBLE)) OVER ()), 1)::BIGINT AS quota
@@ -53,7 +81,7 @@ FROM blocks b JOIN turns t ON b.source IS NOT DISTINCT FROM t.source AND t.turn
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_hilbert_shards, op7_licence_scan, op9_pfair_mix)}
+    return {f.__name__: f for f in (op1_naive_bayes_language, op2_anchor_pii, op4_hilbert_shards, op5_media_columns, op7_licence_scan, op8_positional_index, op9_pfair_mix, op10_tag_path_text)}
 
 
 def oracle_sql() -> dict[str, str]:
