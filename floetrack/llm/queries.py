@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from floetrack.llm import decontaminate, hilbert, htmltext, langid, licences, media, mixing, pii
+from floetrack.llm import decontaminate, hilbert, htmltext, jaccard, langid, licences, media, mixing, pii
 
 DIMENSIONS = [("lang", "label"), ("source", "label"), ("size", "size")]
 
@@ -42,6 +42,11 @@ def op5_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "shard", "start", "length", "width", "height")
 
 
+def op6_metric_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = jaccard.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.withColumnRenamed("id", "doc_id")
+
+
 def op7_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.scan(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
 
@@ -81,7 +86,7 @@ FROM blocks b JOIN turns t ON b.source IS NOT DISTINCT FROM t.source AND t.turn
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_naive_bayes_language, op2_anchor_pii, op4_hilbert_shards, op5_media_columns, op7_licence_scan, op8_positional_index, op9_pfair_mix, op10_tag_path_text)}
+    return {f.__name__: f for f in (op1_naive_bayes_language, op2_anchor_pii, op4_hilbert_shards, op5_media_columns, op6_metric_join, op7_licence_scan, op8_positional_index, op9_pfair_mix, op10_tag_path_text)}
 
 
 def oracle_sql() -> dict[str, str]:
