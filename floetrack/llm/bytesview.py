@@ -67,25 +67,34 @@ def mix(x: np.ndarray) -> np.ndarray:
 _BYTE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(_ODD))
 
 
-def words(raw: np.ndarray, offsets: np.ndarray, is_word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of the words of some texts: 64-bit hash with A-Z lower-cased, number of the text; of the texts: first word.
+def word_spans(raw: np.ndarray, offsets: np.ndarray, is_word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(bytes, start and end of each word in them, first word of each text): A-Z lower-cased, a space after each text.
 
-    ``is_word`` says of each byte whether it belongs to words. Equal words have equal hashes everywhere.
+    ``is_word`` says of each byte whether it belongs to words; no word crosses texts.
     """
     lower = np.where((raw >= 65) & (raw <= 90), raw + 32, raw).astype(np.uint8)
     data, new = spaced(lower, offsets)
-    if len(data) == 0:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(len(offsets), np.int64)
     inside = is_word[data]
     inside[new[1:] - 1] = False
     edge = np.diff(inside.astype(np.int8), prepend=0, append=0)
     start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    return data, start, end, np.searchsorted(start, new)
+
+
+def span_hashes(data: np.ndarray, start: np.ndarray, *ends: np.ndarray) -> list[np.ndarray]:
+    """For each of ``ends``, a 64-bit hash of the spans of bytes; equal spans have equal hashes everywhere."""
+    if len(start) == 0:
+        return [np.zeros(0, np.uint64) for _ in ends]
     up, down = powers(len(data))
     total = np.cumsum(_BYTE[data] * up)
-    whole = total[end - 1] - np.where(start > 0, total[start - 1], np.uint64(0))
-    first = np.searchsorted(start, new)
-    text = np.repeat(np.arange(len(offsets) - 1), np.diff(first))
-    return mix(whole * down[start] + (end - start).astype(np.uint64)), text, first
+    before = np.where(start > 0, total[start - 1], np.uint64(0))
+    return [mix((total[end - 1] - before) * down[start] + (end - start).astype(np.uint64)) for end in ends]
+
+
+def words(raw: np.ndarray, offsets: np.ndarray, is_word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the words of some texts: hash with A-Z lower-cased, number of the text; of the texts: first word."""
+    data, start, end, first = word_spans(raw, offsets, is_word)
+    return span_hashes(data, start, end)[0], np.repeat(np.arange(len(offsets) - 1), np.diff(first)), first
 
 
 def byte_class(*ranges: tuple[int, int]) -> np.ndarray:

@@ -18,6 +18,8 @@ from functools import partial, reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from floetrack.llm import store
+
 #: Buckets of a cell by the text's checksum, and of those by the row's id.
 GROUPS, SPREAD = 16, 64
 
@@ -97,9 +99,13 @@ def shard(
     bits: int = 4,
     key: str = "doc_id",
     text: str = "text",
+    keep_text: bool = True,
 ) -> DataFrame:
     """``docs`` with size, text_crc32, cell, law, shard and slot; columns of these names are replaced.
 
+    Without ``keep_text`` the text column is left out, and what remains of the rows is written once, so
+    that the texts are read a single time.
+
     ``dimensions``: (column or ``size``, ``size`` or ``label``). law ``rows``: the counts of the shards
     are at most one apart. law ``bytes``: a row goes to the shard that holds the middle of its bytes, so
     sizes differ from an equal share by less than the largest row. Slots count from 0 in each shard
@@ -118,6 +124,9 @@ def shard(
     spots = [quantised(F.col("size") if name == "size" else F.col(name), kind, bits) for name, kind in dimensions]
     rows = rows.withColumn("cell", hilbert_index(spots, bits))
     rows = rows.withColumn("_g", F.pmod(F.col("text_crc32"), F.lit(GROUPS))).withColumn("_d", F.pmod(F.xxhash64(F.col(key)), F.lit(SPREAD)))
+    if not keep_text:
+        kept = kept.drop(text)
+        rows = store.materialise(rows.drop(text), "shard-rows")
     parts = ["cell", "_g", "_d"]
 
     counts = rows.groupBy(*parts).agg(F.count("*").alias("_rows"), F.sum("size").alias("_bytes"))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from floetrack.llm import decontaminate, hilbert, htmltext, jaccard, langid, licences, media, mixing, pii
+from floetrack.llm import decontaminate, hilbert, htmltext, jaccard, langid, licences, media, mixing, pii, toxicity
 
 DIMENSIONS = [("lang", "label"), ("source", "label"), ("size", "size")]
 
@@ -31,9 +31,20 @@ def op2_anchor_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.detect(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
+def toxicity_model(docs: DataFrame, labels: DataFrame):
+    """Trained on the rows that are not held out."""
+    return toxicity.fit(docs.select("doc_id", "text"), labels.where(~held_out()))
+
+
+def op3_recurrent_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = toxicity.predict(docs, toxicity_model(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", held_out().alias("held_out"), "score", "predicted")
+
+
 def op4_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
-    out = hilbert.shard(docs, dimensions=DIMENSIONS, n_shards=8, law="rows")
+    out = hilbert.shard(docs, dimensions=DIMENSIONS, n_shards=8, law="rows", keep_text=False)
     return out.select("doc_id", "size", "text_crc32", "law", "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "cell")
 
 
@@ -86,7 +97,7 @@ FROM blocks b JOIN turns t ON b.source IS NOT DISTINCT FROM t.source AND t.turn
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_naive_bayes_language, op2_anchor_pii, op4_hilbert_shards, op5_media_columns, op6_metric_join, op7_licence_scan, op8_positional_index, op9_pfair_mix, op10_tag_path_text)}
+    return {f.__name__: f for f in (op1_naive_bayes_language, op2_anchor_pii, op3_recurrent_toxicity, op4_hilbert_shards, op5_media_columns, op6_metric_join, op7_licence_scan, op8_positional_index, op9_pfair_mix, op10_tag_path_text)}
 
 
 def oracle_sql() -> dict[str, str]:
