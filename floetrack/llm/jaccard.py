@@ -5,8 +5,8 @@ where pivots drawn at large say nothing and every window would hold everything,
 found where documents are dense, and regions meet only where they can share a close pair:
 
 1. Equal sets become one node. No pair of equal documents is ever made.
-2. Pivots: nodes that agree in one of several min-hashes are compared with the least node among them
-   only, a number of pairs linear in the nodes. A node within the threshold of a pivot joins its region,
+2. Pivots: nodes of about one size that agree in two of three min-hashes are compared with the least
+   node among them only, a number of pairs linear in the nodes. A node within the threshold of a pivot joins its region,
    and regions whose pivots are within the threshold of other pivots join these in turn. A node
    far from all pivots is a region of its own. r(a) bounds a node's distance from its region's pivot.
 3. Regions meet exactly: two sets with J >= t share a shingle among the first n - ceil(t n) + 1 of each
@@ -22,6 +22,7 @@ each join is by an exact comparison. So the components are exact.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,8 +35,8 @@ from floetrack.llm import bytesview, components, store
 SHINGLE, NUMERATOR, DENOMINATOR = 4, 85, 100
 #: Shingles counted at a time when frequent ones are looked for, the least count there, and how many are ordered by count in the end.
 COUNTED, FREQUENT, ORDERED = 1 << 22, 3, 1 << 18
-#: Bits of the filter that passes over documents whose sets are not wanted.
-FILTER_BITS = 1 << 24
+#: Bits of the filters that pass over documents and shingles that cannot matter.
+FILTER_BITS = 1 << 26
 WORD_BYTES = ~bytesview.byte_class((0x20, 0x20), (0x09, 0x0D))
 _SALTS = tuple(np.uint64(x) for x in (0x2545F4914F6CDD1D, 0x6C62272E07BB0142, 0x27D4EB2F165667C5))
 
@@ -145,47 +146,78 @@ def features(docs: DataFrame, key: str, text: str, k: int, numerator: int, denom
     return store.materialise(rows.withColumn("uid", F.monotonically_increasing_id()), "shingles")
 
 
+def bit_table(values: DataFrame, column: str) -> np.ndarray:
+    """A filter of FILTER_BITS bits, one set for each value of a long column by its lowest bits; its size is fixed."""
+    spot = F.pmod(F.col(column), F.lit(FILTER_BITS))
+    bits = values.select(F.floor(spot / 64).cast("int").alias("word"), F.pmod(spot, F.lit(64)).cast("int").alias("bit"))
+    words = bits.groupBy("word").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("bits")).toArrow()
+    table = np.zeros(FILTER_BITS // 64, np.int64)
+    table[words.column("word").to_numpy()] = words.column("bits").to_numpy()
+    return table.view(np.uint64)
+
+
+def passes(table: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Which unsigned values have their bit set."""
+    at = values & np.uint64(FILTER_BITS - 1)
+    return (table[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) > 0
+
+
 def fetch(docs: DataFrame, text: str, k: int, wanted: DataFrame) -> DataFrame:
-    """(uid, n, values) of the wanted nodes (uid, key1, key2), from the whole texts.
+    """(uid, body) of the wanted nodes (uid, key1, key2): the compressed text of one of each node's documents.
 
     A filter of fixed size, built from the keys, spares most other documents the shuffle; the join decides.
     """
-    spot = F.pmod(F.col("key1"), F.lit(FILTER_BITS))
-    bits = wanted.select(F.floor(spot / 64).cast("int").alias("word"), F.pmod(spot, F.lit(64)).cast("int").alias("bit"))
-    words = bits.groupBy("word").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("bits")).toArrow()
-    table = np.zeros(FILTER_BITS // 64, np.int64)
-    table[words.column("word").to_numpy()] = words.column("bits").to_numpy()
-    held = docs.sparkSession.sparkContext.broadcast(table.view(np.uint64))
+    held = docs.sparkSession.sparkContext.broadcast(bit_table(wanted, "key1"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, seen = held.value, set()
         for batch in batches:
-            one, two, sets = [], [], []
-            for _, values in shingle_sets(batch.column(0), k):
+            one, two, body = [], [], []
+            for row, values in shingle_sets(batch.column(0), k):
                 if not len(values):
                     continue
                 own = np.array(set_key(values))
-                at = int(own[0]) % FILTER_BITS  # two's complement: as pmod of the signed value
-                if not (int(table[at // 64]) >> (at % 64)) & 1 or own.tobytes() in seen:
+                if not passes(table, own[:1])[0] or own.tobytes() in seen:
                     continue
                 seen.add(own.tobytes())
                 one.append(own.view(np.int64)[0])
                 two.append(own.view(np.int64)[1])
-                sets.append(values.view(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["key1", "key2", "values"])
+                body.append(zlib.compress(batch.column(0)[row].as_py().encode(), 3))
+            yield pa.RecordBatch.from_arrays([pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array(body, pa.binary())], names=["key1", "key2", "body"])
 
-    found = docs.select(text).mapInArrow(run, "key1 long, key2 long, values array<long>")
-    # Tasks may each have met a set: one of its rows is enough.
-    return wanted.join(found, ["key1", "key2"]).dropDuplicates(["uid"]).select("uid", "values")
+    # Several tasks may have met a set; the join is by the same columns, so that it needs no exchange of its own.
+    found = docs.select(text).mapInArrow(run, "key1 long, key2 long, body binary").dropDuplicates(["key1", "key2"])
+    return found.join(wanted, ["key1", "key2"]).select("uid", "body")
 
 
 def compare(docs: DataFrame, text: str, k: int, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """``pairs`` (a, b, ...) of uids with the sizes of their sets' intersection and union."""
+    """``pairs`` (a, b, ...) of uids with the sizes of their sets' intersection and union, written."""
     ids = pairs.select(F.explode(F.array("a", "b")).alias("uid")).distinct()
-    sets = store.materialise(fetch(docs, text, k, nodes.select("uid", "key1", "key2").join(ids, "uid")), "sets")
-    left, right = sets.select(F.col("uid").alias("a"), F.col("values").alias("_a")), sets.select(F.col("uid").alias("b"), F.col("values").alias("_b"))
-    both = pairs.join(left, "a").join(right, "b").withColumn("common", F.size(F.array_intersect("_a", "_b")))
-    return both.withColumn("united", F.size("_a") + F.size("_b") - F.col("common")).drop("_a", "_b")
+    bodies = store.materialise(fetch(docs, text, k, nodes.select("uid", "key1", "key2").join(ids, "uid")), "bodies")
+    left, right = bodies.select(F.col("uid").alias("a"), F.col("body").alias("_a")), bodies.select(F.col("uid").alias("b"), F.col("body").alias("_b"))
+    both = pairs.join(left, "a").join(right, "b").select(*pairs.columns, "_a", "_b")
+    schema = pairs.select("*", F.lit(0).alias("common"), F.lit(0).alias("united")).schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        recent: dict[bytes, np.ndarray] = {}
+
+        def values(body: bytes) -> np.ndarray:
+            if body not in recent:
+                if len(recent) >= 64:
+                    recent.clear()
+                recent[body] = next(shingle_sets(pa.array([zlib.decompress(body).decode()]), k))[1]
+            return recent[body]
+
+        for batch in batches:
+            common, united = [], []
+            for a, b in zip(batch.column(batch.num_columns - 2), batch.column(batch.num_columns - 1), strict=True):
+                x, y = values(a.as_py()), values(b.as_py())
+                n = len(np.intersect1d(x, y, assume_unique=True))
+                common.append(n)
+                united.append(len(x) + len(y) - n)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-2], pa.array(common, pa.int32()), pa.array(united, pa.int32())], names=[*batch.schema.names[:-2], "common", "united"])
+
+    return store.materialise(both.mapInArrow(run, schema), "compared")
 
 
 def _linked(numerator: int, denominator: int) -> Column:
@@ -194,10 +226,13 @@ def _linked(numerator: int, denominator: int) -> Column:
 
 def regions(docs: DataFrame, text: str, k: int, nodes: DataFrame, numerator: int, denominator: int) -> DataFrame:
     """(uid, root, r) of the nodes that have joined the region of another node."""
-    groups = nodes.select("uid", F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.col(c).alias("h")) for i, c in enumerate(("h1", "h2", "h3"))])).alias("g")).select("uid", "g.*")
+    # Two of three min-hashes and the size, within a factor, agree for most close pairs and for few others.
+    size = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(denominator / numerator))).cast("int")
+    two = [F.xxhash64(F.lit(i), F.col(x), F.col(y), size) for i, (x, y) in enumerate((("h1", "h2"), ("h1", "h3"), ("h2", "h3")))]
+    groups = nodes.select("uid", F.explode(F.array(*two)).alias("h"))
     # Both the pivot and the size of a group are combined before the shuffle.
-    pivots = groups.groupBy("i", "h").agg(F.min("uid").alias("b"), F.count("*").alias("size")).where("size > 1").drop("size")
-    pairs = groups.join(pivots, ["i", "h"]).where("uid <> b").select(F.col("uid").alias("a"), "b").distinct()
+    pivots = groups.groupBy("h").agg(F.min("uid").alias("b"), F.count("*").alias("size")).where("size > 1").drop("size")
+    pairs = groups.join(pivots, "h").where("uid <> b").select(F.col("uid").alias("a"), "b").distinct()
     pairs = store.materialise(pairs, "pivot-pairs")
     close = compare(docs, text, k, nodes, pairs).where(_linked(numerator, denominator))
     # The nearest pivot; a pivot is less than its node, so there are no cycles.
@@ -245,27 +280,44 @@ def near_duplicates(
     some = rows.where("key1 IS NOT NULL")
     # The node of equal sets: one of the rows that carry their prefix, least id of all their rows.
     nodes = some.groupBy("key1", "key2").agg(
-        F.min(F.when(F.col("prefix").isNotNull(), F.col("uid"))).alias("uid"), F.min("id").alias("least"), F.min("h1").alias("h1"), F.min("h2").alias("h2"), F.min("h3").alias("h3")
+        F.min(F.when(F.col("prefix").isNotNull(), F.col("uid"))).alias("uid"), F.min("id").alias("least"), F.min("n").alias("n"), F.min("h1").alias("h1"), F.min("h2").alias("h2"), F.min("h3").alias("h3")
     )
     nodes = store.materialise(nodes, "nodes")
     home = regions(docs, text, shingle, nodes, numerator, denominator)
 
-    # Every node's prefix, once; those of a region together.
-    chosen = some.where("prefix IS NOT NULL").select("uid", "n", "prefix").join(nodes.select("uid"), "uid", "left_semi")
-    placed = chosen.join(home, "uid", "left").select("uid", F.coalesce("root", "uid").alias("root"), F.coalesce("r", F.lit(0.0)).alias("r"), F.col("root").isNotNull().alias("inner"), "n", "prefix")
+    # Every node's prefix, once. Most shingles are in one node's prefix only: a count of each, combined
+    # early, tells which are not, and a filter of fixed size leaves few others.
+    carried = some.where("prefix IS NOT NULL").select("uid", "n", "prefix")
+    other = store.materialise(carried.select("uid").join(nodes.select("uid"), "uid", "left_anti"), "again")
+    chosen = carried.join(other, "uid", "left_anti")
+    often = chosen.select(F.explode("prefix").alias("s")).groupBy("s").agg(F.count("*").alias("times")).where("times > 1").select("s")
+    held = docs.sparkSession.sparkContext.broadcast(bit_table(often, "s"))
+
+    def meets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = held.value
+        for batch in batches:
+            lists = batch.column(2)
+            values, ends = lists.flatten().to_numpy(zero_copy_only=False), np.diff(lists.offsets.to_numpy())
+            owner = np.repeat(np.arange(len(ends)), ends)
+            at = np.arange(len(values)) - np.repeat(np.cumsum(ends) - ends, ends)
+            ok = passes(table, values.view(np.uint64))
+            uid, n = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            yield pa.RecordBatch.from_arrays([pa.array(uid[owner[ok]]), pa.array(n[owner[ok]]), pa.array((n[owner[ok]] - at[ok]).astype(np.int32)), pa.array(values[ok])], names=["uid", "n", "rest", "s"])
+
+    entries = store.materialise(chosen.mapInArrow(meets, "uid long, n int, rest int, s long"), "entries")
+    inner = home.select("uid", "root", "r")
     roots = home.select(F.col("root").alias("uid")).distinct().withColumn("pivot", F.lit(True))
-    placed = placed.join(roots, "uid", "left").withColumn("alone", ~F.col("inner") & F.col("pivot").isNull())
-    entries = placed.select("uid", "root", "r", "n", "alone", F.posexplode("prefix").alias("at", "s"))
-    entries = entries.withColumn("rest", F.col("n") - F.col("at"))
+    places = nodes.select("uid").join(inner, "uid", "left").join(roots, "uid", "left")
+    places = places.where("root IS NOT NULL OR pivot").select("uid", F.coalesce("root", "uid").alias("root"), F.coalesce("r", F.lit(0.0)).alias("r"))
+    entries = entries.join(places, "uid", "left").withColumn("alone", F.col("root").isNull()).withColumn("root", F.coalesce("root", "uid")).withColumn("r", F.coalesce("r", F.lit(0.0)))
     lone = entries.where("alone").select("s", "root", F.col("n").alias("lo"), F.col("n").alias("hi"), "rest")
     dense = entries.where("NOT alone").groupBy("s", "root").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.max("rest").alias("rest"))
-    spread = lone.unionByName(dense)
-    # Most shingles are in one region only; a group-wise minimum and maximum, combined early, tell which.
+    spread = store.materialise(lone.unionByName(dense), "spread")
     shared = spread.groupBy("s").agg(F.min("root").alias("_least"), F.max("root").alias("_most")).where("_least <> _most").select("s")
     meeting = store.materialise(spread.join(shared, "s", "left_semi"), "meeting")
     pairs = meeting.alias("x").join(meeting.alias("y"), (F.col("x.s") == F.col("y.s")) & _may_link(numerator, denominator))
     pairs = store.materialise(pairs.select(F.col("x.root").alias("a"), F.col("y.root").alias("b")).distinct(), "region-pairs")
-    measured = store.materialise(compare(docs, text, shingle, nodes, pairs), "region-distances")
+    measured = compare(docs, text, shingle, nodes, pairs)
     joined = measured.where(_linked(numerator, denominator)).select("a", "b")
 
     # Region pairs that their members' distances from the pivots leave open.
