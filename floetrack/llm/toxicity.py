@@ -27,7 +27,7 @@ TABLES = (*SPANS, "gram")
 INPUTS = 4 * len(TABLES)
 EMBED, HIDDEN, ATTEND = 4, 8, 8
 #: Bounds of the training sample: rows with label 1, rows with label 0, and bytes of text.
-SAMPLE_TOXIC, SAMPLE_CLEAN, SAMPLE_BYTES = 1200, 3600, 24_000_000
+SAMPLE_TOXIC, SAMPLE_CLEAN, SAMPLE_BYTES = 1000, 3000, 8_000_000
 _PAD = 30.0
 
 
@@ -51,6 +51,22 @@ class Words:
     def __len__(self) -> int:
         return len(self.begin)
 
+    @classmethod
+    def of(cls, texts: list[str]) -> Words:
+        """Of a list of texts, a part of them at a time."""
+        column = pa.array(texts, pa.large_string())
+        parts = [cls(raw, offsets) for _, _, raw, offsets in bytesview.text_chunks(column, 1 << 19)]
+        out, grams, words = cls.__new__(cls), 0, 0
+        begins, firsts = [], []
+        for part in parts:
+            begins.append(part.begin + grams)
+            firsts.append(part.first[:-1] + words)
+            grams, words = grams + len(part.gram), words + len(part)
+        out.spans = {name: np.concatenate([part.spans[name] for part in parts]) for name in SPANS}
+        out.begin, out.count, out.gram = np.concatenate(begins), np.concatenate([part.count for part in parts]), np.concatenate([part.gram for part in parts])
+        out.first = np.concatenate([*firsts, [words]])
+        return out
+
     def inputs(self, p: dict) -> np.ndarray:
         """The network's input for each word."""
         return np.concatenate([*(p[name][b] for name, b in self.spans.items()), self.mean_grams(p["gram"])], axis=1)
@@ -179,14 +195,24 @@ def _gradients(p: dict, words: Words, spots: np.ndarray, label: np.ndarray, weig
     return g
 
 
-def _log_odds(buckets: np.ndarray, texts: np.ndarray, label: np.ndarray, size: int) -> np.ndarray:
-    """Of each bucket, the shrunken log odds that a text with it is labelled 1."""
-    pairs = np.unique(buckets.astype(np.int64) * len(label) + texts)
-    bucket, text = pairs // len(label), pairs % len(label)
-    one, all_ = np.bincount(bucket, label[text], minlength=size), np.bincount(bucket, minlength=size)
+def _log_odds(words: Words, name: str, label: np.ndarray) -> np.ndarray:
+    """Of each bucket of a table, the shrunken log odds that a text with it is labelled 1."""
+    one, both, size = np.zeros(1 << BITS), np.zeros(1 << BITS), len(label)
+    for a in range(0, size, 100):  # some texts at a time
+        s, e = words.first[a], words.first[min(a + 100, size)]
+        owner = np.repeat(np.arange(a, min(a + 100, size)), np.diff(words.first[a : a + 101]))
+        if name == "gram":
+            many = np.maximum(words.count[s:e], 0)
+            place = np.repeat(words.begin[s:e] - (np.cumsum(many) - many), many) + np.arange(many.sum())
+            bucket, owner = words.gram[place], np.repeat(owner, many)
+        else:
+            bucket = words.spans[name][s:e]
+        pairs = np.unique(bucket.astype(np.int64) * size + owner)
+        one += np.bincount(pairs // size, label[pairs % size], minlength=1 << BITS)
+        both += np.bincount(pairs // size, minlength=1 << BITS)
     total = label.sum()
-    odds = np.log((one + 0.5) / (total + 1)) - np.log((all_ - one + 0.5) / (len(label) - total + 1))
-    return (np.clip(odds, -4, 4) * all_ / (all_ + 4.0)).astype(np.float32)
+    odds = np.log((one + 0.5) / (total + 1)) - np.log((both - one + 0.5) / (size - total + 1))
+    return (np.clip(odds, -4, 4) * both / (both + 4.0)).astype(np.float32)
 
 
 def train(texts: list[str], labels: list[int], *, rounds: int = 5, steps: int = 60, batch: int = 192, rate: float = 0.01, table_rate: float = 0.05, seed: int = 7) -> dict[str, np.ndarray]:
@@ -195,26 +221,21 @@ def train(texts: list[str], labels: list[int], *, rounds: int = 5, steps: int =
     prior = float((label.sum() + 0.5) / (len(label) + 1.0)) if len(label) else 0.0
     if not len(label) or label.min() == label.max():
         return {"prior": np.array([prior])}
-    encoded = [t.encode() for t in texts]
-    words = Words(np.frombuffer(b"".join(encoded), np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in encoded])]))
+    words = Words.of(texts)
     spots, text = words.windows()
     rng = np.random.default_rng(seed)
     p = initial(rng)
     if not len(spots):
         return {"prior": np.array([prior])}
     # Embeddings start with the log odds of their bucket in the first place.
-    owner = np.repeat(np.arange(len(label)), np.diff(words.first))
-    many = np.maximum(words.count, 0)
-    place = np.repeat(words.begin - (np.cumsum(many) - many), many) + np.arange(many.sum())
-    for name in SPANS:
-        p[name][:, 0] = _log_odds(words.spans[name], owner, label, 1 << BITS) / 2
-    p["gram"][:, 0] = _log_odds(words.gram[place], np.repeat(owner, many), label, 1 << BITS) / 2
-    guess = words.inputs(p).reshape(len(words), len(TABLES), EMBED)[:, :, 0].sum(axis=1)
+    for name in TABLES:
+        p[name][:, 0] = _log_odds(words, name, label) / 2
+    guess = sum(p[name][words.spans[name], 0] for name in SPANS) + words.mean_grams(p["gram"][:, :1])[:, 0]
     top = np.append(np.maximum(guess - 1.0, 0.0), 0.0)[spots].sum(axis=1)
     (first, second), step = ({k: np.zeros_like(v) for k, v in p.items()} for _ in range(2)), 0
     for turn in range(rounds):
         if turn:
-            top = np.concatenate([window_logits(p, words, spots[a : a + 20_000]) for a in range(0, len(spots), 20_000)])
+            top = np.concatenate([window_logits(p, *_part(words, spots[a : a + 4000])) for a in range(0, len(spots), 4000)])
         order = np.lexsort((top, text))
         last = order[np.append(text[order][1:] != text[order][:-1], True)]  # each text's highest window
         clean = np.flatnonzero(label[text] == 0)
@@ -223,8 +244,7 @@ def train(texts: list[str], labels: list[int], *, rounds: int = 5, steps: int =
         toxic, other = pick[label[text[pick]] == 1], pick[label[text[pick]] == 0]
         for _ in range(steps):
             part = np.concatenate([rng.choice(toxic, batch // 3), rng.choice(other, batch - batch // 3)])
-            part_words, inverse = np.unique(spots[part], return_inverse=True)
-            g = _gradients(p, _Subset(words, part_words), inverse.reshape(len(part), WIDTH), label[text[part]], np.ones(len(part), np.float32))
+            g = _gradients(p, *_part(words, spots[part]), label[text[part]], np.ones(len(part), np.float32))
             step += 1
             for k, v in g.items():
                 first[k] += 0.1 * (v - first[k])
@@ -238,7 +258,6 @@ class _Subset(Words):
     """Some words of a larger collection, under new numbers in the same order; the padding stays last."""
 
     def __init__(self, words: Words, chosen: np.ndarray):
-        chosen = chosen[chosen < len(words)]
         self.spans = {name: b[chosen] for name, b in words.spans.items()}
         self.begin, self.count, self.gram = words.begin[chosen], words.count[chosen], words.gram
 
@@ -250,6 +269,15 @@ class _Subset(Words):
         return (out / np.maximum(many, 1)[:, None]).astype(table.dtype)
 
 
+def _part(words: Words, spots: np.ndarray) -> tuple[Words, np.ndarray]:
+    """Only the words of some windows, and the windows under their new numbers."""
+    chosen, inverse = np.unique(spots, return_inverse=True)
+    pad = len(words)
+    if chosen[-1] != pad:
+        return _Subset(words, chosen), inverse.reshape(spots.shape)
+    return _Subset(words, chosen[:-1]), inverse.reshape(spots.shape)
+
+
 def scores(p: dict, raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """The score of each text: its highest window's; the prior for a text without words."""
     out = np.full(len(offsets) - 1, float(p["prior"][0]))
