@@ -1,15 +1,588 @@
-"""The registered tracking queries and their SQL."""
+"""The registered tracking queries over the driver's tables, and DuckDB SQL for those that SQL can express.
+
+The tables hold no images, so each query reads them as what its operator works on: events as points of
+trajectories (users), embeddings as descriptors, rows with two measures as places.
+"""
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from floetrack.functions import geo, names, vectors
+from floetrack.operators import grid, history, interpolate, matching, raster, templates
+from floetrack.plans import scenes
+from floetrack.plans.processor import Config, Processor
+from floetrack.sources import catalog
+from floetrack.streaming import fold
+
+Query = Callable[[SparkSession, str], DataFrame]
+_queries: dict[str, Query] = {}
+_sql: dict[str, str] = {}
+
+
+def register(sql: str | None = None) -> Callable[[Query], Query]:
+    """Adds a query under its function's name, with its SQL."""
+
+    def add(f: Query) -> Query:
+        _queries[f.__name__] = f
+        if sql is not None:
+            _sql[f.__name__] = sql
+        return f
 
+    return add
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+
+def queries() -> dict[str, Query]:
+    return dict(_queries)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_sql)
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+# ---- stand-ins -------------------------------------------------------------------------------------
+def points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as history rows; the latest event of a user is the head."""
+    e = table(spark, sf_dir, "events")
+    rows = e.select(
+        (F.datediff(F.to_date("ts"), F.to_date(F.lit("2024-01-01"))) + 1).cast("long").alias("image_id"),
+        F.col("user_id").alias("trajectory_id"),
+        (F.col("value") * 10 - 2500).alias("x"),
+        ((F.col("event_id") % 997) * 5 - 2500).cast("double").alias("y"),
+        ((F.col("event_id") % 61) - 30).cast("double").alias("angle"),
+        (F.col("value") / 500).alias("corr"),
+        F.col("ts").alias("time"),
+        (F.col("event_id") % 7 == 0).alias("interpolated"),
+        "event_id",
+    )
+    return rows
+
+
+PTS = """pts AS (SELECT date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) + 1 AS image_id, user_id AS trajectory_id, value * 10 - 2500 AS x,
+  CAST((event_id % 997) * 5 - 2500 AS DOUBLE) AS y, CAST((event_id % 61) - 30 AS DOUBLE) AS angle, value / 500 AS corr, ts AS time,
+  event_id % 7 = 0 AS interpolated, event_id FROM events)"""
+HEADS = PTS + ", heads AS (SELECT * FROM pts QUALIFY row_number() OVER (PARTITION BY trajectory_id ORDER BY time DESC, event_id DESC) = 1)"
+
+
+def flagged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The history with its flag, heads found by one early-combined aggregate."""
+    rows = points(spark, sf_dir)
+    heads = history.heads(rows, "event_id").select("event_id", F.lit(True).alias("is_last"))
+    return rows.join(heads, "event_id", "left").withColumn("is_last", F.coalesce("is_last", F.lit(False)))
+
+
+def descriptors(spark: SparkSession, sf_dir: str, keep: Column) -> DataFrame:
+    """Embeddings as descriptors of 64 bits with places."""
+    e = table(spark, sf_dir, "embeddings").where(keep)
+    return e.select(F.col("vec_id").alias("id"), vectors.sign_bytes(F.col("embedding")).alias("descriptors"), ((F.col("vec_id") * 37 % 1000) * 100).cast("double").alias("x"), ((F.col("vec_id") * 91 % 1000) * 100).cast("double").alias("y"))
+
+
+DIST = "list_sum(list_transform(range(0, 32), lambda k: CASE WHEN (a.embedding[2 * k + 1] > 0) <> (b.embedding[2 * k + 1] > 0) OR (a.embedding[2 * k + 2] > 0) <> (b.embedding[2 * k + 2] > 0) THEN 1 ELSE 0 END))::BIGINT"
+PAIRS = f"pairs AS (SELECT a.vec_id AS q, b.vec_id AS t, {DIST} AS dist FROM embeddings a, embeddings b WHERE a.label < 5 AND b.label >= 5)"
+MUTUAL = PAIRS + """, mutual AS (SELECT q, t, dist FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY dist, t) AS i, row_number() OVER (PARTITION BY t ORDER BY dist, q) AS j FROM pairs) WHERE i = 1 AND j = 1)"""
+KNN = PAIRS + ", knn AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY dist, t) AS rank FROM pairs QUALIFY rank <= 4)"
+RATIO = KNN + """, lowe AS (SELECT q, t, dist FROM (SELECT *, lead(dist) OVER (PARTITION BY q ORDER BY rank) AS nxt FROM knn) WHERE dist < 17 AND dist < CAST(0.98 AS DOUBLE) * nxt QUALIFY row_number() OVER (PARTITION BY q ORDER BY rank) = 1)"""
+PLACED = """placed AS (SELECT q, t, dist, (q * 37 % 1000) * 100.0::DOUBLE AS x0, (q * 91 % 1000) * 100.0::DOUBLE AS y0, (t * 37 % 1000) * 100.0::DOUBLE AS x1, (t * 91 % 1000) * 100.0::DOUBLE AS y1 FROM mutual)"""
+
+
+def sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    return descriptors(spark, sf_dir, F.col("label") < 5), descriptors(spark, sf_dir, F.col("label") >= 5)
+
+
+def placed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left, right = sides(spark, sf_dir)
+    a = left.select(F.col("id").alias("q"), F.col("x").alias("x0"), F.col("y").alias("y0"))
+    b = right.select(F.col("id").alias("t"), F.col("x").alias("x1"), F.col("y").alias("y1"))
+    return matching.crosscheck(left, right).join(a, "q").join(b, "t")
+
+
+def motion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items as point pairs under a known affine motion with small deviations."""
+    x, y = F.col("l_quantity") * 100, F.col("l_extendedprice")
+    return table(spark, sf_dir, "lineitem").select(
+        "l_returnflag", "l_orderkey", "l_linenumber", "l_partkey", x.alias("x0"), y.alias("y0"), (x * 1.01 + y * 0.02 + 500 + F.col("l_discount") * 10).alias("x1"), (x * -0.03 + y * 0.99 - 300 + F.col("l_tax") * 10).alias("y1")
+    )
+
+
+MOTION = """motion AS (SELECT l_returnflag, l_orderkey, l_linenumber, l_partkey, l_quantity * 100 AS x0, l_extendedprice AS y0,
+  l_quantity * 100 * 1.01::DOUBLE + l_extendedprice * 0.02::DOUBLE + 500 + l_discount * 10 AS x1, l_quantity * 100 * -0.03::DOUBLE + l_extendedprice * 0.99::DOUBLE - 300 + l_tax * 10 AS y1 FROM lineitem)"""
+FIT = MOTION + """, s AS (SELECT l_returnflag, count(*) AS n, avg(x0) AS mx, avg(y0) AS my, avg(x1) AS mu, avg(y1) AS mv, var_pop(x0) AS xx, covar_pop(x0, y0) AS xy, var_pop(y0) AS yy,
+  covar_pop(x0, x1) AS xu, covar_pop(y0, x1) AS yu, covar_pop(x0, y1) AS xv, covar_pop(y0, y1) AS yv FROM motion GROUP BY l_returnflag),
+fit AS (SELECT *, (xu * yy - yu * xy) / (xx * yy - xy * xy) AS a11, (yu * xx - xu * xy) / (xx * yy - xy * xy) AS a12, (xv * yy - yv * xy) / (xx * yy - xy * xy) AS a21, (yv * xx - xv * xy) / (xx * yy - xy * xy) AS a22 FROM s)"""
+
+
+# ---- history -------------------------------------------------------------------------------------
+@register(f"WITH {HEADS} SELECT h.trajectory_id, h.image_id, h.x, h.y, h.event_id, n.n_points FROM heads h JOIN (SELECT trajectory_id, count(*) AS n_points FROM pts GROUP BY 1) n USING (trajectory_id)")
+def traj_last(spark, sf_dir):
+    rows = points(spark, sf_dir)
+    heads = history.heads(rows, "event_id").select("trajectory_id", "image_id", "x", "y", "event_id")
+    return heads.join(history.lengths(rows), "trajectory_id")
+
+
+@register(f"WITH {HEADS} SELECT trajectory_id, event_id, image_id FROM heads WHERE TIMESTAMP '2024-01-31 00:00:00' - time < INTERVAL 4 DAYS")
+def recency_filter(spark, sf_dir):
+    heads = history.heads(points(spark, sf_dir), "event_id").withColumn("is_last", F.lit(True))
+    return history.candidates(heads, F.lit("2024-01-31 00:00:00").cast("timestamp_ntz")).select("trajectory_id", "event_id", "image_id")
+
+
+@register(f"WITH {PTS} SELECT coalesce(max(image_id), 0)::BIGINT AS last_image_id FROM pts")
+def last_image_id(spark, sf_dir):
+    return history.last_image_id(points(spark, sf_dir))
+
+
+@register(
+    "SELECT c_custkey AS trajectory_id, c_acctbal AS x, NULL::BIGINT AS suppkey FROM customer UNION ALL "
+    "SELECT (SELECT max(c_custkey) + 1 FROM customer) + row_number() OVER (ORDER BY s_acctbal, s_suppkey) - 1, s_acctbal, s_suppkey FROM supplier"
+)
+def append_ids(spark, sf_dir):
+    old = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("trajectory_id"), F.col("c_acctbal").alias("x"), F.lit(None).cast("long").alias("suppkey"))
+    new = table(spark, sf_dir, "supplier").select(F.col("s_acctbal").alias("x"), F.col("s_suppkey").alias("suppkey"))
+    return history.append(old, new, "x", "suppkey")
+
+
+@register(
+    f"WITH {PTS}, o AS (SELECT * FROM pts WHERE image_id < 20), n AS (SELECT * FROM pts WHERE image_id >= 20), "
+    "oh AS (SELECT *, row_number() OVER (PARTITION BY trajectory_id ORDER BY time DESC, event_id DESC) = 1 AS l FROM o), nh AS (SELECT *, row_number() OVER (PARTITION BY trajectory_id ORDER BY time DESC, event_id DESC) = 1 AS l FROM n) "
+    "SELECT event_id, trajectory_id, CASE WHEN l AND trajectory_id NOT IN (SELECT trajectory_id FROM n) THEN 1 ELSE 0 END AS is_last FROM oh UNION ALL SELECT event_id, trajectory_id, 1 FROM nh WHERE l"
+)
+def update_close_heads(spark, sf_dir):
+    rows = points(spark, sf_dir)
+    old, new = rows.where("image_id < 20"), rows.where("image_id >= 20")
+    tops = history.heads(old, "event_id").select("event_id", F.lit(True).alias("is_last"))
+    flagged_old = old.join(tops, "event_id", "left").select("event_id", "trajectory_id", F.coalesce("is_last", F.lit(False)).alias("is_last"))
+    latest = history.heads(new, "event_id").select("event_id", "trajectory_id", F.lit(True).alias("is_last"))
+    return history.update(flagged_old, latest).withColumn("is_last", F.col("is_last").cast("int"))
+
+
+@register(f"WITH {PTS} SELECT event_id, trajectory_id, count(*) OVER (PARTITION BY trajectory_id) AS n_points FROM pts")
+def traj_counts(spark, sf_dir):
+    return history.with_lengths(points(spark, sf_dir).select("event_id", "trajectory_id"))
+
+
+@register("SELECT o_orderkey, o_totalprice FROM orders QUALIFY row_number() OVER (ORDER BY md5(o_orderkey::VARCHAR), o_orderkey) <= (SELECT round_even(count(*) * 0.1, 0) FROM orders)")
+def sample_exact(spark, sf_dir):
+    return history.sample_exact(table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice"), 0.1, "o_orderkey")
+
+
+@register()
+def sample_bernoulli(spark, sf_dir):
+    return history.sample_fraction(table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice"), 0.1, 7)
+
+
+@register(f"WITH {PTS} SELECT image_id, count(*) AS n, sum(CASE WHEN interpolated THEN 1 ELSE 0 END)::BIGINT AS n_interpolated, round(avg(CASE WHEN interpolated THEN 1.0::DOUBLE ELSE 0 END), 9) AS share FROM pts GROUP BY 1")
+def interp_stats(spark, sf_dir):
+    return history.interpolation_share(points(spark, sf_dir), "image_id").withColumn("share", F.round("share", 9))
+
+
+@register(f"WITH {PTS} SELECT image_id, round(avg(angle), 6) AS mean_angle, round(stddev_pop(angle), 6) AS std_angle, max(abs(angle)) AS max_angle, round(avg(corr), 6) AS mean_corr, min(corr) AS min_corr FROM pts GROUP BY 1")
+def corr_stats(spark, sf_dir):
+    out = history.quality(points(spark, sf_dir), "image_id")
+    return out.withColumns({c: F.round(c, 6) for c in ("mean_angle", "std_angle", "mean_corr")})
+
+
+@register("SELECT round(quantile_cont(value, 0.01), 6) AS p01, round(quantile_cont(value, 0.99), 6) AS p99 FROM events")
+def colour_limits(spark, sf_dir):
+    out = history.colour_limits(table(spark, sf_dir, "events"), "value")
+    return out.select(F.round("p01", 6).alias("p01"), F.round("p99", 6).alias("p99"))
+
+
+@register(f"WITH {HEADS} SELECT p.event_id FROM pts p SEMI JOIN (SELECT trajectory_id FROM heads WHERE event_id % 2 = 0) h ON p.trajectory_id = h.trajectory_id")
+def matched_semi(spark, sf_dir):
+    rows = points(spark, sf_dir)
+    return history.only(rows, history.heads(rows, "event_id").where("event_id % 2 = 0")).select("event_id")
+
+
+@register(f"WITH {HEADS} SELECT p.event_id FROM pts p ANTI JOIN (SELECT trajectory_id FROM heads WHERE event_id % 2 = 0) h ON p.trajectory_id = h.trajectory_id")
+def unmatched_anti(spark, sf_dir):
+    rows = points(spark, sf_dir)
+    return history.without(rows, history.heads(rows, "event_id").where("event_id % 2 = 0")).select("event_id")
+
+
+@register("SELECT DISTINCT user_id AS trajectory_id FROM events")
+def trajectory_ids(spark, sf_dir):
+    return history.trajectory_ids(points(spark, sf_dir))
+
+
+# ---- names and catalogue -----------------------------------------------------------------------------
+NAME = """CASE WHEN event_id % 5 = 0 THEN 'notes_' || event_id || '.txt' ELSE '/data/x/S1' || CASE WHEN event_id % 2 = 0 THEN 'A' ELSE 'B' END || '_EW_GRDM_1SDH_' || strftime(ts, '%Y%m%dT%H%M%S') || '_' || strftime(ts + INTERVAL 60 SECONDS, '%Y%m%dT%H%M%S')
+  || '_' || lpad((event_id % 100000)::VARCHAR, 6, '0') || '_' || lpad((event_id % 9999)::VARCHAR, 6, 'A') || '_' || lpad((event_id % 99)::VARCHAR, 4, 'B') || '.tiff' END"""
+
+
+def named(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as files with product names, one in five not."""
+    e = table(spark, sf_dir, "events")
+    i = F.col("event_id")
+    at = lambda c: F.date_format(c, "yyyyMMdd'T'HHmmss")
+    part = lambda m, n, fill: F.lpad((i % m).cast("string"), n, fill)
+    name = F.concat(
+        F.lit("/data/x/S1"), F.when(i % 2 == 0, "A").otherwise("B"), F.lit("_EW_GRDM_1SDH_"), at(F.col("ts")), F.lit("_"), at(F.col("ts") + F.expr("INTERVAL 60 SECONDS")), F.lit("_"),
+        part(100000, 6, "0"), F.lit("_"), part(9999, 6, "A"), F.lit("_"), part(99, 4, "B"), F.lit(".tiff"),
+    )
+    return e.select("event_id", F.when(i % 5 == 0, F.concat(F.lit("notes_"), i.cast("string"), F.lit(".txt"))).otherwise(name).alias("path"))
+
+
+@register(
+    f"WITH f AS (SELECT event_id, split_part({NAME}, '/', -1) AS filename FROM events) SELECT event_id, filename, regexp_extract(filename, '_(\\d{{8}}T\\d{{6}})_', 1) AS start, "
+    "substr(filename, 34, 15) AS \"end\", substr(filename, 50, 6) AS orbit_num, substr(filename, 57, 6) AS data_take, substr(filename, 64, 4) AS unique_id, epoch(strptime(regexp_extract(filename, '_(\\d{8}T\\d{6})_', 1), '%Y%m%dT%H%M%S'))::BIGINT AS seconds FROM f WHERE filename LIKE 'S1%'"
+)
+def catalog_parse(spark, sf_dir):
+    rows = named(spark, sf_dir).withColumn("filename", names.basename(F.col("path")))
+    return catalog.products(rows).select("event_id", "filename", "start", "end", "orbit_num", "data_take", "unique_id", F.col("timestamp").cast("long").alias("seconds"))
+
+
+@register(f"WITH f AS (SELECT event_id, split_part({NAME}, '/', -1) AS n FROM events) SELECT event_id, CASE WHEN n LIKE 'S1%' THEN epoch(strptime(regexp_extract(n, '\\d{{8}}T\\d{{6}}'), '%Y%m%dT%H%M%S'))::BIGINT END AS seconds, CASE WHEN n LIKE 'S1%' THEN strftime(strptime(substr(split_part(n, '_', 5), 1, 8), '%Y%m%d'), '%Y-%m-%d') END AS day FROM f")
+def date_from_path(spark, sf_dir):
+    name = names.basename(F.col("path"))
+    return named(spark, sf_dir).select("event_id", names.date_in(F.col("path")).cast("long").alias("seconds"), names.date_of_path(name).cast("string").alias("day"))
+
+
+@register("SELECT o_orderkey, row_number() OVER (ORDER BY o_orderdate, o_orderkey) AS image_id FROM orders")
+def image_ordinals(spark, sf_dir):
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", F.unix_micros(F.col("o_orderdate").cast("timestamp")).alias("at"))
+    return history.ranked(rows, "at", "o_orderkey").select("o_orderkey", (F.col("rank") + 1).cast("long").alias("image_id"))
+
+
+@register("SELECT c_nationkey, min(o_totalprice) AS minx, max(o_totalprice) AS maxx, min(c_acctbal) AS miny, max(c_acctbal) AS maxy FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1")
+def bbox_agg(spark, sf_dir):
+    o, c = table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer")
+    both = o.join(c, o.o_custkey == c.c_custkey)
+    return both.groupBy("c_nationkey").agg(F.min("o_totalprice").alias("minx"), F.max("o_totalprice").alias("maxx"), F.min("c_acctbal").alias("miny"), F.max("c_acctbal").alias("maxy"))
+
+
+@register("SELECT p_partkey, least(p_retailprice, p_retailprice + p_size) AS minx, p_size::DOUBLE AS miny, p_retailprice + p_size AS maxx, p_size + 10.0::DOUBLE AS maxy FROM part")
+def footprint_bounds(spark, sf_dir):
+    x, y, s = F.col("p_retailprice"), F.col("p_size").cast("double"), F.col("p_size")
+    ring = geo.ring((x, y), (x + s, y), (x + s, y + 10), (x, y + 10))
+    return table(spark, sf_dir, "part").select("p_partkey", ring.alias("fp")).select("p_partkey", *[v.alias(k) for k, v in geo.bounds(F.col("fp")).items()])
+
+
+@register("SELECT page_id AS image_id, split_part(url, '/', -1) AS name, item_id FROM pages JOIN benchmark ON split_part(url, '/', -1) = item_id::VARCHAR")
+def insitu_join(spark, sf_dir):
+    images = table(spark, sf_dir, "pages").select(F.col("page_id").alias("image_id"), F.col("url").alias("filename"))
+    insitu = table(spark, sf_dir, "benchmark").select(F.concat(F.lit("/buoys/"), F.col("item_id").cast("string")).alias("image_filepath"), "item_id")
+    return catalog.insitu_join(images, insitu).select("image_id", names.basename(F.col("image_filepath")).alias("name"), "item_id")
+
+
+@register(f"WITH f AS (SELECT event_id, split_part({NAME}, '/', -1) AS filename FROM events) SELECT event_id FROM f WHERE event_id % 3 <> 0")
+def skip_processed(spark, sf_dir):
+    files = named(spark, sf_dir).withColumn("filename", names.basename(F.col("path")))
+    return catalog.unprocessed(files, files.where("event_id % 3 = 0")).select("event_id")
+
+
+# ---- geometry ------------------------------------------------------------------------------------
+LONLAT = "SELECT event_id, (event_id % 360) - 180.0::DOUBLE AS lon, 60 + 29.9::DOUBLE * (value / 491.0::DOUBLE) AS lat FROM events"
+_E = geo.ECCENTRICITY
+_POLAR = f"6378137.0::DOUBLE * {geo._M!r}::DOUBLE / {geo._T!r}::DOUBLE * tan(pi() / 4 - radians(lat) / 2) / pow((1 - {_E!r}::DOUBLE * sin(radians(lat))) / (1 + {_E!r}::DOUBLE * sin(radians(lat))), {_E / 2!r}::DOUBLE)"
+
+
+def lonlat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").select("event_id", ((F.col("event_id") % 360) - 180.0).alias("lon"), (60 + 29.9 * (F.col("value") / 491.0)).alias("lat"))
+
+
+@register(f"WITH l AS ({LONLAT}), r AS (SELECT *, {_POLAR} AS rho FROM l) SELECT event_id, round(rho * sin(radians(lon + 45)), 3) + 0.0::DOUBLE AS x, round(-rho * cos(radians(lon + 45)), 3) + 0.0::DOUBLE AS y FROM r")
+def polar_forward(spark, sf_dir):
+    x, y = geo.polar_forward(F.col("lon"), F.col("lat"))
+    return lonlat(spark, sf_dir).select("event_id", (F.round(x, 3) + 0.0).alias("x"), (F.round(y, 3) + 0.0).alias("y"))
+
+
+@register(f"WITH l AS ({LONLAT}) SELECT event_id, round(lon, 6) AS lon, round(lat, 6) AS lat FROM l")
+def polar_inverse(spark, sf_dir):
+    x, y = geo.polar_forward(F.col("lon"), F.col("lat"))
+    lon, lat = geo.polar_inverse(F.col("x"), F.col("y"))
+    fixed = F.when(F.round(lon, 6) >= 180, F.round(lon, 6) - 360).otherwise(F.round(lon, 6))
+    return lonlat(spark, sf_dir).select("event_id", x.alias("x"), y.alias("y")).select("event_id", fixed.alias("lon"), F.round(lat, 6).alias("lat"))
+
+
+@register("SELECT p_partkey, round(degrees(atan2(p_size - 20.0::DOUBLE, p_retailprice - 1000.0::DOUBLE)), 6) AS angle FROM part")
+def image_angle(spark, sf_dir):
+    return table(spark, sf_dir, "part").select("p_partkey", F.round(geo.rotation_angle(F.lit(20.0), F.lit(1000.0), F.col("p_size"), F.col("p_retailprice")), 6).alias("angle"))
+
+
+@register(f"WITH {PTS} SELECT event_id FROM pts WHERE x > -1000 AND x < 1000 AND y > -1000 AND y < 1000 AND (x + y < 1200)")
+def in_polygon(spark, sf_dir):
+    corners = ((-1000.0, -1000.0), (1000.0, -1000.0), (1000.0, 200.0), (200.0, 1000.0), (-1000.0, 1000.0))
+    ring = geo.ring(*[(F.lit(a), F.lit(b)) for a, b in corners])
+    return history.in_footprint(points(spark, sf_dir), ring).select("event_id")
+
+
+@register(f"WITH {PTS}, d AS (SELECT event_id, x - lag(x) OVER w AS u, y - lag(y) OVER w AS v FROM pts WINDOW w AS (PARTITION BY trajectory_id ORDER BY time, event_id)) SELECT event_id, u, v, round(sqrt(u * u + v * v), 6) AS speed FROM d WHERE sqrt(u * u + v * v) < 3000")
+def displacement(spark, sf_dir):
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("trajectory_id").orderBy("time", "event_id")
+    rows = points(spark, sf_dir).withColumn("x0", F.lag("x").over(w)).withColumn("y0", F.lag("y").over(w))
+    moved = rows.withColumns(geo.displacement(F.col("x0"), F.col("y0"), F.col("x"), F.col("y"))).where("speed < 3000")
+    return moved.select("event_id", "u", "v", F.round("speed", 6).alias("speed"))
+
+
+@register("SELECT p_partkey, trunc(p_retailprice / 10 - 100)::INTEGER AS t, round_even(p_size / 2.0::DOUBLE - 10, 0)::INTEGER AS n FROM part")
+def int_trunc_round(spark, sf_dir):
+    return table(spark, sf_dir, "part").select("p_partkey", geo.truncated(F.col("p_retailprice") / 10 - 100).alias("t"), geo.nearest(F.col("p_size") / 2.0 - 10).alias("n"))
+
+
+@register("SELECT p_partkey, round((p_retailprice - 5) / 2, 6) AS col, round((100 - p_size) / 4.0::DOUBLE, 6) AS row FROM part")
+def map_to_pixel(spark, sf_dir):
+    m = [2.0, 0.0, 5.0, 0.0, -4.0, 100.0]
+    col, row = geo.affine_inverse(F.col("p_retailprice"), F.col("p_size").cast("double"), m)
+    return table(spark, sf_dir, "part").select("p_partkey", F.round(col, 6).alias("col"), F.round(row, 6).alias("row"))
+
+
+# ---- matching ------------------------------------------------------------------------------------
+@register(f"SELECT a.vec_id AS q, b.vec_id AS t, {DIST} AS dist FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1")
+def hamming2(spark, sf_dir):
+    e = table(spark, sf_dir, "embeddings").select("vec_id", vectors.sign_words(F.col("embedding")).alias("w"))
+    b = e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("vec_id").alias("t"), F.col("w").alias("w2"))
+    return e.join(b, "vec_id").select(F.col("vec_id").alias("q"), "t", names.hamming2_words(F.col("w"), F.col("w2")).cast("long").alias("dist"))
+
+
+@register(f"WITH {MUTUAL} SELECT q, t, dist FROM mutual")
+def crosscheck(spark, sf_dir):
+    return matching.crosscheck(*sides(spark, sf_dir)).select("q", "t", F.col("dist").cast("long").alias("dist"))
+
+
+@register(f"WITH {KNN} SELECT q, t, dist, rank FROM knn")
+def knn4(spark, sf_dir):
+    return matching.nearest(*sides(spark, sf_dir)).select("q", "t", F.col("dist").cast("long").alias("dist"), F.col("rank").cast("long").alias("rank"))
+
+
+@register(f"WITH {RATIO} SELECT q, t, dist FROM lowe")
+def ratio_test(spark, sf_dir):
+    return matching.ratio_test(matching.nearest(*sides(spark, sf_dir)), 17, 0.98).select("q", "t", F.col("dist").cast("long").alias("dist"))
+
+
+@register(f"WITH {RATIO}, m AS (SELECT q, t, dist FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY dist, t) AS i, row_number() OVER (PARTITION BY t ORDER BY dist, q) AS j FROM pairs) WHERE i = 1 AND j = 1) SELECT * FROM m UNION ALL SELECT * FROM lowe WHERE q NOT IN (SELECT q FROM m)")
+def match_union(spark, sf_dir):
+    left, right = sides(spark, sf_dir)
+    out = matching.united(matching.crosscheck(left, right), matching.ratio_test(matching.nearest(left, right), 17, 0.98))
+    return out.withColumn("dist", F.col("dist").cast("long"))
+
+
+@register(f"WITH {MUTUAL}, {PLACED} SELECT q, t, dist FROM placed WHERE dist < 17 AND sqrt((x1 - x0) * (x1 - x0) + (y1 - y0) * (y1 - y0)) < 60000")
+def match_cascade(spark, sf_dir):
+    found = matching.close_enough(placed(spark, sf_dir), 17, 60_000.0)
+    return found.select("q", "t", F.col("dist").cast("long").alias("dist"))
+
+
+@register(f"WITH {FIT} SELECT l_returnflag, n, round(a11, 6) AS a11, round(a12, 6) AS a12, round(mu - a11 * mx - a12 * my, 3) AS b1, round(a21, 6) AS a21, round(a22, 6) AS a22, round(mv - a21 * mx - a22 * my, 3) AS b2 FROM fit")
+def affine_fit(spark, sf_dir):
+    out = matching.affine_fit(motion(spark, sf_dir), "l_returnflag")
+    return out.select("l_returnflag", "n", *[F.round(c, 3 if c[0] == "b" else 6).alias(c) for c in ("a11", "a12", "b1", "a21", "a22", "b2")])
+
+
+@register(
+    f"WITH {FIT} SELECT m.l_returnflag, count(*) AS n, round(avg(sqrt(pow(x1 - (a11 * x0 + a12 * y0 + mu - a11 * mx - a12 * my), 2) + pow(y1 - (a21 * x0 + a22 * y0 + mv - a21 * mx - a22 * my), 2))), 6) AS mean_residual "
+    "FROM motion m JOIN fit f ON m.l_returnflag = f.l_returnflag GROUP BY 1"
+)
+def residuals(spark, sf_dir):
+    rows = motion(spark, sf_dir)
+    out = matching.residuals(rows, matching.affine_fit(rows, "l_returnflag"), "l_returnflag")
+    return out.groupBy("l_returnflag").agg(F.count("*").alias("n"), F.round(F.avg("residual"), 6).alias("mean_residual"))
+
+
+@register()
+def robust_fit(spark, sf_dir):
+    s = table(spark, sf_dir, "supplier")
+    x, y = (F.col("s_suppkey") * 37 % 101).cast("double") * 1000, (F.col("s_suppkey") * 91 % 103).cast("double") * 1000
+    far = F.when(F.col("s_suppkey") % 5 == 0, 50_000.0).otherwise(0.0)
+    pairs = s.select("s_suppkey", "s_nationkey", x.alias("x0"), y.alias("y0"), (x * 1.01 + 500 + far).alias("x1"), (y * 0.99 - 300 - far).alias("y1"))
+    return matching.robust_fit(pairs, "s_nationkey").select("s_suppkey", "s_nationkey", "inlier", F.round("residual", 3).alias("residual"))
+
+
+@register(
+    "WITH m AS (SELECT s_suppkey AS id, (s_suppkey * 37 % 101) * 1000.0::DOUBLE AS x0, (s_suppkey * 91 % 103) * 1000.0::DOUBLE AS y0 FROM supplier WHERE s_suppkey % 3 <> 0), "
+    "o AS (SELECT s_suppkey AS id, (s_suppkey * 37 % 101) * 1000.0::DOUBLE AS x, (s_suppkey * 91 % 103) * 1000.0::DOUBLE AS y FROM supplier) "
+    "SELECT id AS trajectory_id, round(x0 + 500, 3) AS x, round(y0 - 300, 3) AS y, 0 AS interpolated FROM m UNION ALL "
+    "SELECT id, round(x + 500, 3), round(y - 300, 3), 1 FROM o WHERE id NOT IN (SELECT id FROM m) AND (x + 500) / 1000 >= 16 AND (x + 500) / 1000 < 84 AND (100000 - (y - 300)) / 1000 >= 16 AND (100000 - (y - 300)) / 1000 < 84"
+)
+def interpolated(spark, sf_dir):
+    s = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("trajectory_id"), ((F.col("s_suppkey") * 37 % 101) * 1000).cast("double").alias("x"), ((F.col("s_suppkey") * 91 % 103) * 1000).cast("double").alias("y"))
+    found = s.where("trajectory_id % 3 <> 0").select("trajectory_id", F.col("x").alias("x0"), F.col("y").alias("y0"), (F.col("x") + 500).alias("x1"), (F.col("y") - 300).alias("y1"))
+    out = interpolate.interpolate(s, found, footprint=None, affine=[1000.0, 0.0, 0.0, 0.0, -1000.0, 100_000.0], height=100, width=100)
+    return out.select("trajectory_id", F.round("x", 3).alias("x"), F.round("y", 3).alias("y"), F.col("interpolated").cast("int").alias("interpolated"))
+
+
+# ---- grids, cells, templates -------------------------------------------------------------------------
+@register("SELECT c.c AS col, r.r AS row FROM range(0, 1000, 10) c(c), range(0, 800, 10) r(r) WHERE c.c BETWEEN 256 AND 744 AND r.r BETWEEN 256 AND 544")
+def grid_points(spark, sf_dir):
+    return grid.grid_points(spark, 800, 1000)
+
+
+def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items as pixels with a response."""
+    return table(spark, sf_dir, "lineitem").select((F.col("l_partkey") % 2000).alias("col"), (F.col("l_orderkey") % 1500).alias("row"), F.col("l_extendedprice").alias("response"), (F.col("l_orderkey") * 100_000_000 + F.col("l_partkey") * 1000 + F.col("l_suppkey") % 100 * 10 + F.col("l_linenumber")).alias("order_no"))
+
+
+PIX = "pix AS (SELECT l_partkey % 2000 AS col, l_orderkey % 1500 AS row, l_extendedprice AS response, l_orderkey * 100000000 + l_partkey * 1000 + l_suppkey % 100 * 10 + l_linenumber AS order_no FROM lineitem)"
+
+
+@register(f"WITH {PIX} SELECT row // 64 AS cell_row, col // 64 AS cell_col, response, order_no FROM pix QUALIFY row_number() OVER (PARTITION BY row // 64, col // 64 ORDER BY response DESC, order_no) = 1")
+def cell_top1(spark, sf_dir):
+    return grid.best_per_cell(pixels(spark, sf_dir), "response", "order_no").select("cell_row", "cell_col", "response", "order_no")
+
+
+@register(f"WITH {PIX} SELECT row // 64 AS cell_row, col // 64 AS cell_col, count(*) AS n FROM pix GROUP BY 1, 2")
+def cell_counts(spark, sf_dir):
+    return grid.cell_counts(pixels(spark, sf_dir))
+
+
+@register(f"WITH {PIX}, w AS (SELECT r.r AS cell_row, c.c AS cell_col FROM range(0, 1500 // 16) r(r), range(0, 2000 // 16) c(c)) SELECT cell_row, cell_col FROM w WHERE (cell_row, cell_col) NOT IN (SELECT (row // 16, col // 16) FROM pix)")
+def cell_empty(spark, sf_dir):
+    return grid.empty_windows(grid.windows(spark, 1500, 2000, 16), pixels(spark, sf_dir), 16).select("cell_row", "cell_col")
+
+
+@register("SELECT count(*) AS n FROM supplier WHERE (s_suppkey * 37 % 101) BETWEEN 16 AND 83 AND (s_suppkey * 91 % 103) BETWEEN 16 AND 83")
+def template_fits(spark, sf_dir):
+    s = table(spark, sf_dir, "supplier").select((F.col("s_suppkey") * 37 % 101).alias("col"), (F.col("s_suppkey") * 91 % 103).alias("row"))
+    return s.where(grid.fits(F.col("col"), F.col("row"), 100, 100)).agg(F.count("*").alias("n"))
+
+
+def template_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    e = table(spark, sf_dir, "embeddings")
+    made = lambda mark: F.concat(F.lit(mark), F.col("vec_id").cast("string")).alias("pixels")
+    return e.where("label < 5").select(F.col("vec_id").alias("trajectory_id"), made("o")), e.where("label >= 4").select(F.col("vec_id").alias("trajectory_id"), made("n"))
+
+
+@register("SELECT vec_id AS trajectory_id, CASE WHEN label >= 4 THEN 'n' ELSE 'o' END || vec_id AS pixels FROM embeddings")
+def template_merge(spark, sf_dir):
+    return templates.merge(*template_tables(spark, sf_dir))
+
+
+@register("SELECT vec_id AS trajectory_id, CASE WHEN label < 5 THEN 'o' ELSE 'n' END || vec_id AS pixels FROM embeddings")
+def template_append(spark, sf_dir):
+    return templates.append(*template_tables(spark, sf_dir))
+
+
+@register("SELECT vec_id AS trajectory_id, CASE WHEN label = 4 THEN 'n' ELSE 'o' END || vec_id AS pixels FROM embeddings WHERE label < 5")
+def template_update(spark, sf_dir):
+    return templates.update(*template_tables(spark, sf_dir))
+
+
+@register("SELECT event_id FROM events WHERE user_id IN (SELECT vec_id FROM embeddings WHERE label < 5)")
+def template_semi(spark, sf_dir):
+    return templates.having(points(spark, sf_dir), template_tables(spark, sf_dir)[0]).select("event_id")
+
+
+@register("SELECT count(*) AS n_missing FROM events WHERE user_id NOT IN (SELECT vec_id FROM embeddings WHERE label < 5)")
+def template_missing(spark, sf_dir):
+    return templates.missing(points(spark, sf_dir), template_tables(spark, sf_dir)[0])
+
+
+@register("SELECT event_id, 'o' || user_id AS pixels FROM events WHERE user_id IN (SELECT vec_id FROM embeddings WHERE label < 5)")
+def template_lookup(spark, sf_dir):
+    return templates.lookup(points(spark, sf_dir), template_tables(spark, sf_dir)[0]).select("event_id", "pixels")
+
+
+# ---- vectors -------------------------------------------------------------------------------------
+@register("WITH x AS (SELECT a.vec_id, unnest(a.embedding)::DOUBLE AS p, unnest(b.embedding)::DOUBLE AS q FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1) SELECT vec_id, round(corr(p, q), 4) AS ncc FROM x GROUP BY 1")
+def ncc(spark, sf_dir):
+    e = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    b = e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("other"))
+    return e.join(b, "vec_id").select("vec_id", F.round(vectors.pearson(F.col("embedding"), F.col("other")), 4).alias("ncc"))
+
+
+@register("SELECT vec_id, list_position(embedding, list_max(embedding))::BIGINT - 1 AS place FROM embeddings")
+def surface_peak(spark, sf_dir):
+    return table(spark, sf_dir, "embeddings").select("vec_id", vectors.peak(F.col("embedding")).alias("place"))
+
+
+@register("SELECT vec_id, '[' || array_to_string(list_transform(range(0, 8), lambda k: list_sum(list_transform(range(0, 8), lambda i: CASE WHEN embedding[(k // 4) * 32 + (3 - k % 4) * 8 + i + 1] > 0 THEN 1 << i ELSE 0 END))::BIGINT), ',') || ']' AS descriptor, 8 AS n FROM embeddings")
+def desc_json(spark, sf_dir):
+    e = table(spark, sf_dir, "embeddings").select("vec_id", names.descriptor_json(vectors.sign_bytes(F.col("embedding"))).alias("descriptor"))
+    return e.withColumn("n", F.octet_length(names.descriptor_from_json(F.col("descriptor"))))
+
+
+@register("SELECT vec_id, round(list_sum(list_transform(embedding, lambda v: abs(v::DOUBLE - list_avg(embedding)))), 3) AS spread FROM embeddings")
+def desc_centred(spark, sf_dir):
+    centred = names.centred(F.col("embedding"))
+    return table(spark, sf_dir, "embeddings").select("vec_id", F.round(F.aggregate(centred, F.lit(0.0), lambda a, v: a + F.abs(v)), 3).alias("spread"))
+
+
+@register("SELECT event_id, CASE WHEN event_id % 11 = 0 THEN 0.0::DOUBLE ELSE value END AS filled FROM events")
+def nan_filled(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    return e.select("event_id", names.filled(F.when(F.col("event_id") % 11 == 0, F.lit(float("nan"))).otherwise(F.col("value"))).alias("filled"))
+
+
+# ---- pixels and state ----------------------------------------------------------------------------
+def scene(spark: SparkSession):
+    images, rasters = scenes.scenes(spark, 2, 192)
+    return images, rasters, raster.bands(rasters, 1, ("s0_HV", "s0_HH"))
+
+
+@register()
+def clahe(spark, sf_dir):
+    images, rasters, _ = scene(spark)
+    dn = rasters.select("image_id", "band", "height", (F.col("width") / 2).cast("int").alias("width"), "data", F.lit(1000.0).alias("calibration"))
+    out = raster.preprocess(dn, factors={"s0_HH": 2.2, "s0_HV": 5.5})
+    return out.select("image_id", "band", "height", "width", F.sha2("data", 256).alias("digest"), "error")
+
+
+def pixel_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = table(spark, sf_dir, "supplier")
+    return s.select(F.col("s_suppkey").alias("trajectory_id"), (F.col("s_suppkey") * 37 % 192).cast("double").alias("col"), (F.col("s_suppkey") * 91 % 192).cast("double").alias("row"), F.lit(0.0).alias("angle"))
+
+
+@register()
+def template_extract(spark, sf_dir):
+    _, _, bands = scene(spark)
+    return raster.extract_templates(pixel_points(spark, sf_dir), bands["s0_HV"]).select("trajectory_id", F.octet_length("pixels").alias("n"), F.sha2("pixels", 256).alias("digest"))
+
+
+@register()
+def binary_descriptors(spark, sf_dir):
+    _, _, bands = scene(spark)
+    out = raster.describe(pixel_points(spark, sf_dir), bands, Config().model, 0.0, ("s0_HH", "s0_HV"))
+    return out.select("trajectory_id", names.descriptor_json(F.col("descriptors")).alias("descriptors"))
+
+
+@register()
+def rotation_search(spark, sf_dir):
+    _, rasters, bands = scene(spark)
+    cuts = raster.extract_templates(pixel_points(spark, sf_dir), bands["s0_HV"])
+    later = raster.bands(rasters, 2, ("s0_HV",))["s0_HV"]
+    found = raster.match_templates(cuts, later, 0.0)
+    return found.select("trajectory_id", (F.col("new_col") - F.col("col")).alias("dx"), (F.col("new_row") - F.col("row")).alias("dy"), F.round("corr", 4).alias("corr"))
+
+
+@register()
+def keypoint_detect(spark, sf_dir):
+    _, _, bands = scene(spark)
+    free = grid.empty_windows(grid.windows(spark, 192, 192, 64), pixel_points(spark, sf_dir).where("trajectory_id <= 3"), 64)
+    return raster.detect(free, bands["s0_HV"], Config().model, 64).select("cell_row", "cell_col", "col", "row", F.round("response", 3).alias("response"))
+
+
+@register()
+def pipeline_fold(spark, sf_dir):
+    images, rasters = scenes.scenes(spark, 2, 224)
+    processor = Processor(spark, Config(border_size=32, stride=8))
+    return processor.run(images, rasters).select("trajectory_id", "image_id", "is_last", "interpolated", F.round("x", 1).alias("x"), F.round("y", 1).alias("y"), F.round("corr", 4).alias("corr"))
+
+
+def _scratch(spark: SparkSession) -> str:
+    named_folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    return tempfile.mkdtemp(prefix="floetrack-") if not named_folder else named_folder.rstrip("/") + "/" + next(tempfile._get_candidate_names())
+
+
+@register(f"WITH {HEADS} SELECT trajectory_id, image_id, event_id FROM heads")
+def stream_fold(spark, sf_dir):
+    base = _scratch(spark)
+    source = points(spark, sf_dir)
+    source.write.mode("overwrite").parquet(f"{base}/in")
+    state = fold.HeadsFold(f"{base}/state")
+    stream = spark.readStream.schema(source.schema).option("maxFilesPerTrigger", 1000).parquet(f"{base}/in")
+    fold.run(stream, state, f"{base}/checkpoint").awaitTermination()
+    return spark.read.parquet(f"{state.path}/v{state.version}").where("is_last").select("trajectory_id", "image_id", "event_id")
+
+
+@register(f"WITH {PTS} SELECT strftime(date_trunc('day', time), '%Y-%m-%d') AS day, count(*) AS n, round(avg(corr), 6) AS mean_corr FROM pts GROUP BY 1")
+def drift_windows(spark, sf_dir):
+    out = fold.drift_windows(points(spark, sf_dir).withColumn("time", F.col("time").cast("timestamp")))
+    return out.select(F.date_format(F.col("window.start"), "yyyy-MM-dd").alias("day"), "n", F.round("mean_corr", 6).alias("mean_corr"))
