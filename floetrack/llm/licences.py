@@ -117,7 +117,7 @@ def scan(docs: DataFrame, text: str = "text") -> DataFrame:
     rows = kept.withColumn("_parts", parts)
     rows = rows.withColumn("sentence_ids", F.array_join(F.filter(F.transform("_parts", lambda s: table[s]), lambda x: x.isNotNull()), ","))
     framed = F.concat(F.lit(","), F.col("sentence_ids"), F.lit(","))
-    hits = [F.when(framed.rlike(",.*".join(f",{x}" for x in ids) + ","), F.lit(name)) for name, ids in RULES]
+    hits = [F.when(framed.rlike("(,.*)?".join(f",{x}" for x in ids) + ","), F.lit(name)) for name, ids in RULES]
     rows = rows.withColumn("licences", F.array_join(F.array_distinct(F.filter(F.array(*hits), lambda x: x.isNotNull())), ","))
     return rows.withColumn("n_sentences", F.size("_parts").cast("long")).select(*kept.columns, *made)
 
@@ -130,7 +130,7 @@ def scan_sql() -> str:
     for name, _ in RULES:
         if name not in seen:
             seen.append(name)
-    hit = lambda name: " OR ".join(f"regexp_matches(framed, {quoted(',.*'.join(f',{x}' for x in ids) + ',')})" for n, ids in RULES if n == name)
+    hit = lambda name: " OR ".join(f"regexp_matches(framed, {quoted('(,.*)?'.join(f',{x}' for x in ids) + ',')})" for n, ids in RULES if n == name)
     names = ", ".join(f"CASE WHEN {hit(name)} THEN {quoted(name)} END" for name in seen)
     cut = CUT.replace("\\t", "\t").replace("\\r", "\r").replace("\\n", "\n")
     return f"""
