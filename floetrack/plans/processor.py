@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import logging
-import tempfile
 import uuid
 from dataclasses import dataclass, field
 from datetime import datetime
@@ -16,6 +15,7 @@ from floetrack.functions import geo
 from floetrack.operators import grid, history, interpolate, matching, raster, templates
 from floetrack.plans.logs import timed
 from floetrack.sources import catalog
+from floetrack.sources.shared import shared_root
 from floetrack.sources.snapshots import Snapshots
 
 log = logging.getLogger("floetrack")
@@ -69,8 +69,7 @@ class Processor:
         if persist and snapshots is None:
             raise ValueError("persistence needs a snapshot store")
         self.spark, self.config = spark, config or Config()
-        named = work or spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-        self.work = named.rstrip("/") if named else "file://" + tempfile.mkdtemp(prefix="floetrack-")
+        self.work = (work or shared_root(spark)).rstrip("/")
         self.snapshots, self.insitu, self.persist = snapshots, insitu, persist
         held = snapshots.load() if persist else None
         self.points, self.templates = held or (schema.empty(spark, schema.POINTS), schema.empty(spark, schema.TEMPLATES))

@@ -6,7 +6,7 @@ trajectories (users), embeddings as descriptors, rows with two measures as place
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,6 +17,7 @@ from floetrack.operators import grid, history, interpolate, matching, raster, te
 from floetrack.plans import scenes
 from floetrack.plans.processor import Config, Processor
 from floetrack.sources import catalog
+from floetrack.sources.shared import shared_root
 from floetrack.streaming import fold
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -566,14 +567,9 @@ def pipeline_fold(spark, sf_dir):
     return processor.run(images, rasters).select("trajectory_id", "image_id", "is_last", "interpolated", F.round("x", 1).alias("x"), F.round("y", 1).alias("y"), F.round("corr", 4).alias("corr"))
 
 
-def _scratch(spark: SparkSession) -> str:
-    named_folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return tempfile.mkdtemp(prefix="floetrack-") if not named_folder else named_folder.rstrip("/") + "/" + next(tempfile._get_candidate_names())
-
-
 @register(f"WITH {HEADS} SELECT trajectory_id, image_id, event_id FROM heads")
 def stream_fold(spark, sf_dir):
-    base = _scratch(spark)
+    base = f"{shared_root(spark)}/stream-{uuid.uuid4().hex}"
     source = points(spark, sf_dir)
     source.write.mode("overwrite").parquet(f"{base}/in")
     state = fold.HeadsFold(f"{base}/state")

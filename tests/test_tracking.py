@@ -8,9 +8,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from floetrack import schema
-from floetrack.functions import geo, names
+from floetrack.functions import geo, names, spline
 from floetrack.operators import grid, history, interpolate, matching, raster, templates
-from floetrack.plans import logs, scenes
+from floetrack.plans import logs, preprocessing, scenes
 from floetrack.plans.processor import Config, Processor
 from floetrack.sources import catalog, tiff
 from floetrack.sources.snapshots import Snapshots
@@ -249,3 +249,31 @@ def test_logging(tmp_path):
     logger = logs.setup_logging(str(tmp_path), "floetrack-test")
     assert len(logger.handlers) == 2 and logs.setup_logging(str(tmp_path), "floetrack-test") is logger and len(logger.handlers) == 2
     assert logs.timed(lambda: math.pi)() == math.pi
+
+
+def test_spline(spark):
+    rng = np.random.default_rng(6)
+    src = rng.uniform(0, 1000, (25, 2))
+    flat = src @ np.array([[2.0, 0.3], [-0.1, 4.0]]).T + [10.0, -20.0]
+    bent = flat + np.column_stack([np.sin(src[:, 0] / 300), np.cos(src[:, 1] / 300)]) * 50
+    rows = spark.createDataFrame([tuple(map(float, (*s, *f, *b))) for s, f, b in zip(src, flat, bent)], "c double, r double, fx double, fy double, bx double, by double")
+    for names_, dst in ((("fx", "fy"), flat), (("bx", "by"), bent)):
+        x, y = spline.apply(spline.solve(src, dst), F.col("c"), F.col("r"))
+        worst = rows.select(F.max(F.abs(x - F.col(names_[0]))), F.max(F.abs(y - F.col(names_[1])))).first()
+        assert max(worst) < 1e-6
+    elsewhere = spark.createDataFrame([(123.0, 456.0)], "c double, r double")
+    x, y = spline.apply(spline.solve(src, flat), F.col("c"), F.col("r"))
+    assert tuple(elsewhere.select(x, y).first()) == pytest.approx((2 * 123 + 0.3 * 456 + 10, -0.1 * 123 + 4 * 456 - 20), abs=1e-6)
+    with pytest.raises(ValueError):
+        spline.solve(np.array([[0, 0], [1, 1], [2, 2]]), np.zeros((3, 2)))
+
+
+def test_preprocessing_passes_over_what_is_done(spark, tmp_path):
+    folder, out = tmp_path / "in", str(tmp_path / "out")
+    folder.mkdir()
+    rng = np.random.default_rng(1)
+    for name in ("a.tiff", "b.tiff"):
+        (folder / name).write_bytes(tiff.write(rng.integers(0, 200, (2, 64, 48), dtype=np.uint16)))
+        got = preprocessing.preprocess_folder(spark, str(folder), out, tiles=4)
+    assert sorted((r.filename, r.band, r.height, r.width) for r in got.collect()) == [(f, b, 32, 24) for f in ("a.tiff", "b.tiff") for b in ("s0_HH", "s0_HV")]
+    assert got.where("error IS NOT NULL").count() == 0
