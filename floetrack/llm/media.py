@@ -71,11 +71,11 @@ def feature(payload: bytes) -> str:
 
 
 def payload_digest(text: Column) -> Column:
-    """The hexadecimal SHA-256 of a text's payload, as a column expression."""
+    """The SHA-256 of a text's payload, 32 bytes, as a column expression."""
     data = F.coalesce(text.cast("binary"), F.lit(b"").cast("binary"))
     size = F.octet_length(data)
     fill = F.greatest(F.lit(ROW), F.ceil(size / ROW) * ROW).cast("int") - size
-    return F.sha2(F.concat(data, F.unhex(F.repeat(F.lit("00"), fill))), 256)
+    return F.unhex(F.sha2(F.concat(data, F.unhex(F.repeat(F.lit("00"), fill))), 256))
 
 
 def write(docs: DataFrame, folder: str, text: str = "text") -> DataFrame:
@@ -104,19 +104,19 @@ def write(docs: DataFrame, folder: str, text: str = "text") -> DataFrame:
                     info = tarfile.TarInfo(f"{key.hex()}.png")
                     info.size = len(image)
                     out.write(info.tobuf(tarfile.GNU_FORMAT))
-                    rows.append((key.hex(), name, out.tell(), len(image)))
+                    rows.append((key, name, out.tell(), len(image)))
                     out.write(image + b"\0" * (-len(image) % tarfile.BLOCKSIZE))
                     if out.tell() >= SHARD_BYTES:
                         out.write(b"\0" * 2 * tarfile.BLOCKSIZE)
                         out.close()
                         out = None
-                yield pa.RecordBatch.from_pylist([dict(zip(("digest", "shard", "start", "length"), r, strict=True)) for r in rows], schema=pa.schema([("digest", pa.string()), ("shard", pa.string()), ("start", pa.int64()), ("length", pa.int64())]))
+                yield pa.RecordBatch.from_pylist([dict(zip(("digest", "shard", "start", "length"), r, strict=True)) for r in rows], schema=pa.schema([("digest", pa.binary()), ("shard", pa.string()), ("start", pa.int64()), ("length", pa.int64())]))
         finally:
             if out is not None:
                 out.write(b"\0" * 2 * tarfile.BLOCKSIZE)
                 out.close()
 
-    return store.materialise(docs.select(text).mapInArrow(run, "digest string, shard string, start long, length long"), "media-index")
+    return store.materialise(docs.select(text).mapInArrow(run, "digest binary, shard string, start long, length long"), "media-index")
 
 
 def unique(index: DataFrame) -> DataFrame:
@@ -126,9 +126,9 @@ def unique(index: DataFrame) -> DataFrame:
 
 def probe(index: DataFrame, folder: str, *, samples: bool) -> DataFrame:
     """Metadata of stored media. Only headers are read, unless ``samples`` asks for the checksums and features too."""
-    schema = "digest string, media_bytes long, width int, height int, bits int"
+    schema = "digest binary, media_bytes long, width int, height int, bits int"
     if samples:
-        schema += ", payload_bytes long, payload_sha256 string, tail_crc32 long, media_sha256 string, feature string"
+        schema += ", payload_bytes long, payload_sha256 binary, tail_crc32 long, media_sha256 binary, feature string"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
@@ -149,9 +149,9 @@ def probe(index: DataFrame, folder: str, *, samples: bool) -> DataFrame:
                     payload = decode(image)
                     row |= {
                         "payload_bytes": len(payload),
-                        "payload_sha256": hashlib.sha256(payload).hexdigest(),
+                        "payload_sha256": hashlib.sha256(payload).digest(),
                         "tail_crc32": zlib.crc32(payload[-ROW:]),
-                        "media_sha256": hashlib.sha256(image).hexdigest(),
+                        "media_sha256": hashlib.sha256(image).digest(),
                         "feature": feature(payload),
                     }
                 rows.append(row)
@@ -159,7 +159,7 @@ def probe(index: DataFrame, folder: str, *, samples: bool) -> DataFrame:
         if file is not None:
             file.close()
 
-    kinds = {"string": pa.string(), "long": pa.int64(), "int": pa.int32()}
+    kinds = {"string": pa.string(), "binary": pa.binary(), "long": pa.int64(), "int": pa.int32()}
     arrow = pa.schema([(x.split()[0], kinds[x.split()[1]]) for x in schema.split(", ")])
     # A shard is opened once: its members lie together and in their order.
     return index.repartition("shard").sortWithinPartitions("shard", "start").mapInArrow(run, schema)
@@ -178,4 +178,6 @@ def media_columns(docs: DataFrame, *, text: str = "text", samples: bool = True)
     names = [c for c in facts.columns if c != "digest"]
     kept = docs.drop("n_bytes", "digest", *names)
     rows = kept.withColumns({"n_bytes": F.coalesce(F.octet_length(F.col(text).cast("binary")), F.lit(0)).cast("long"), "digest": payload_digest(F.col(text))})
-    return rows.drop(text).join(facts, "digest").select(*[c for c in kept.columns if c != text], "n_bytes", "digest", *names)
+    out = rows.drop(text).join(facts, "digest").select(*[c for c in kept.columns if c != text], "n_bytes", "digest", *names)
+    # Digests are bytes until here, half the size of their text in every exchange.
+    return out.withColumns({c: F.lower(F.hex(c)) for c in ("digest", "payload_sha256", "media_sha256") if c in out.columns})

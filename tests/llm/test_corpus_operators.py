@@ -82,7 +82,7 @@ def test_shards_are_tar_files(spark):
     for r in index:
         data = open(f"{folder.removeprefix('file://')}/{r.shard}", "rb").read()
         with tarfile.open(fileobj=io.BytesIO(data)) as t:
-            assert data[r.start : r.start + r.length] == t.extractfile(f"{r.digest}.png").read()
+            assert data[r.start : r.start + r.length] == t.extractfile(f"{bytes(r.digest).hex()}.png").read()
     rows = spark.createDataFrame(index)
     header = media.probe(rows, folder, samples=False).collect()
     assert {(h.width, h.height) for h in header} == {(64, 1)} and header[0].asDict().keys() == {"digest", "media_bytes", "width", "height", "bits"}
