@@ -19,12 +19,14 @@ from pyspark.sql import functions as F
 
 #: Leading hexadecimal digits of the ordering hash by which the rows of one source are dealt out.
 SPREAD_DIGITS = 3
+#: More sources than this raise an error: the timetable, which is broadcast, grows with them.
+MAX_SOURCES = 20_000
 
 
 def quotas(docs: DataFrame, weights: Mapping[str | None, int] | None, period: int, source: str = "source") -> DataFrame:
     """(source, quota): whole shares of a period. Without weights, in proportion to the root of each source's rows.
 
-    One row for each source; the number of sources is taken to be small (thousands), that of rows is not.
+    One row for each source, of which there are MAX_SOURCES at most; the number of rows is not bounded.
     """
     sizes = docs.groupBy(F.col(source).alias("source")).agg(F.count("*").alias("n"))
     if weights is not None:
@@ -38,6 +40,8 @@ def quotas(docs: DataFrame, weights: Mapping[str | None, int] | None, period: in
 def timetable(shares: DataFrame) -> DataFrame:
     """(source, quota, period, turn, pick): the slots, within a period, of a source's blocks; earliest deadline first."""
     one = shares.groupBy().agg(F.sort_array(F.collect_list(F.struct(F.col("source"), F.col("quota")))).alias("all")).where(F.size("all") > 0)
+    checked = F.when(F.size("all") > MAX_SOURCES, F.raise_error(F.lit(f"more than {MAX_SOURCES} sources"))).otherwise(F.col("all"))
+    one = one.withColumn("all", checked)
     one = one.withColumn("quotas", F.col("all.quota")).withColumn("period", F.aggregate("quotas", F.lit(0).cast("long"), lambda a, q: a + q))
     # Within the fold: served[i] blocks of source i have run before slot t.
     fold = """
