@@ -6,7 +6,7 @@ found where documents are dense, and regions meet only where they can share a cl
 
 1. Equal sets become one node. No pair of equal documents is ever made.
 2. Pivots: nodes of about one size that agree in two of three min-hashes are compared with the least
-   node among them only, a number of pairs linear in the nodes. A node within the threshold of a pivot joins its region,
+   node among them (by the number of shingles of its own) only, a number of pairs linear in the nodes. A node within the threshold of a pivot joins its region,
    and regions whose pivots are within the threshold of other pivots join these in turn. A node
    far from all pivots is a region of its own. r(a) bounds a node's distance from its region's pivot.
 3. Regions meet exactly: two sets with J >= t share a shingle among the first n - ceil(t n) + 1 of each
@@ -110,12 +110,12 @@ def features(docs: DataFrame, key: str, text: str, k: int, numerator: int, denom
         common, count = held.value
         seen: set[tuple[int, int]] = set()
         for batch in batches:
-            out: dict[str, list] = {c: [] for c in ("n", "key1", "key2", "h1", "h2", "h3", "prefix")}
+            out: dict[str, list] = {c: [] for c in ("n", "rare", "key1", "key2", "h1", "h2", "h3", "prefix")}
             for _, values in shingle_sets(batch.column(1), k):
                 n = len(values)
                 out["n"].append(n)
                 if not n:
-                    for c in ("key1", "key2", "h1", "h2", "h3", "prefix"):
+                    for c in ("rare", "key1", "key2", "h1", "h2", "h3", "prefix"):
                         out[c].append(None)
                     continue
                 own = tuple(int(x) for x in np.array(set_key(values)).view(np.int64))
@@ -124,24 +124,25 @@ def features(docs: DataFrame, key: str, text: str, k: int, numerator: int, denom
                 least = np.array([values[0], *(bytesview.mix(values + s).min() for s in _SALTS[1:])]).view(np.int64)
                 for c, v in zip(("h1", "h2", "h3"), least.tolist(), strict=True):
                     out[c].append(v)
+                rank = np.zeros(n, np.int64)
+                if len(common):
+                    spot = np.minimum(np.searchsorted(common, values), len(common) - 1)
+                    rank = np.where(common[spot] == values, count[spot], 0)
+                out["rare"].append(int((rank == 0).sum()))
                 if own in seen:
                     out["prefix"].append(None)
                     continue
                 seen.add(own)
                 size = n - -(-numerator * n // denominator) + 1
-                rank = np.zeros(n, np.int64)
-                if len(common):
-                    spot = np.minimum(np.searchsorted(common, values), len(common) - 1)
-                    rank = np.where(common[spot] == values, count[spot], 0)
                 plain = np.flatnonzero(rank == 0)[:size]
                 if len(plain) < size:
                     some = np.flatnonzero(rank)
                     plain = np.concatenate([plain, some[np.argsort(rank[some], kind="stable")][: size - len(plain)]])
                 out["prefix"].append(values[plain].view(np.int64))
-            kinds = {"n": pa.int32(), "prefix": pa.list_(pa.int64())}
+            kinds = {"n": pa.int32(), "rare": pa.int32(), "prefix": pa.list_(pa.int64())}
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(v, kinds.get(c, pa.int64())) for c, v in out.items())], names=["id", *out])
 
-    schema = "id long, n int, key1 long, key2 long, h1 long, h2 long, h3 long, prefix array<long>"
+    schema = "id long, n int, rare int, key1 long, key2 long, h1 long, h2 long, h3 long, prefix array<long>"
     rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text)).mapInArrow(run, schema)
     return store.materialise(rows.withColumn("uid", F.monotonically_increasing_id()), "shingles")
 
@@ -203,8 +204,8 @@ def compare(docs: DataFrame, text: str, k: int, nodes: DataFrame, pairs: DataFra
 
         def values(body: bytes) -> np.ndarray:
             if body not in recent:
-                if len(recent) >= 64:
-                    recent.clear()
+                if len(recent) >= 256:
+                    del recent[next(iter(recent))]  # the oldest
                 recent[body] = next(shingle_sets(pa.array([zlib.decompress(body).decode()]), k))[1]
             return recent[body]
 
@@ -229,13 +230,14 @@ def regions(docs: DataFrame, text: str, k: int, nodes: DataFrame, numerator: int
     # Two of three min-hashes and the size, within a factor, agree for most close pairs and for few others.
     size = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(denominator / numerator))).cast("int")
     two = [F.xxhash64(F.lit(i), F.col(x), F.col(y), size) for i, (x, y) in enumerate((("h1", "h2"), ("h1", "h3"), ("h2", "h3")))]
-    groups = nodes.select("uid", F.explode(F.array(*two)).alias("h"))
-    # Both the pivot and the size of a group are combined before the shuffle.
-    pivots = groups.groupBy("h").agg(F.min("uid").alias("b"), F.count("*").alias("size")).where("size > 1").drop("size")
+    groups = nodes.select("uid", "rare", F.explode(F.array(*two)).alias("h"))
+    # The pivot has the fewest shingles of its own: among near copies, the one with the fewest edits. It and
+    # the size of a group are combined before the shuffle.
+    pivots = groups.groupBy("h").agg(F.min(F.struct("rare", "uid")).alias("b"), F.count("*").alias("size")).where("size > 1").select("h", F.col("b.uid").alias("b"))
     pairs = groups.join(pivots, "h").where("uid <> b").select(F.col("uid").alias("a"), "b").distinct()
     pairs = store.materialise(pairs, "pivot-pairs")
     close = compare(docs, text, k, nodes, pairs).where(_linked(numerator, denominator))
-    # The nearest pivot; a pivot is less than its node, so there are no cycles.
+    # The nearest pivot; a pivot is less than its node by (rare, uid), so there are no cycles.
     home = close.groupBy("a").agg(F.min(F.struct((1 - F.col("common") / F.col("united")).alias("d"), F.col("b"))).alias("home"))
     home = store.materialise(home.select(F.col("a").alias("uid"), F.col("home.b").alias("root"), F.col("home.d").alias("r")), "regions")
     while True:
@@ -280,7 +282,7 @@ def near_duplicates(
     some = rows.where("key1 IS NOT NULL")
     # The node of equal sets: one of the rows that carry their prefix, least id of all their rows.
     nodes = some.groupBy("key1", "key2").agg(
-        F.min(F.when(F.col("prefix").isNotNull(), F.col("uid"))).alias("uid"), F.min("id").alias("least"), F.min("n").alias("n"), F.min("h1").alias("h1"), F.min("h2").alias("h2"), F.min("h3").alias("h3")
+        F.min(F.when(F.col("prefix").isNotNull(), F.col("uid"))).alias("uid"), F.min("id").alias("least"), F.min("n").alias("n"), F.min("rare").alias("rare"), F.min("h1").alias("h1"), F.min("h2").alias("h2"), F.min("h3").alias("h3")
     )
     nodes = store.materialise(nodes, "nodes")
     home = regions(docs, text, shingle, nodes, numerator, denominator)
