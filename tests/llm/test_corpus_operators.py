@@ -344,3 +344,15 @@ def test_pipeline_stages_take_odd_rows(spark, small):
     assert cp.mix_sources(spark, docs, small).count() == 5 and cp.cut_shards(spark, docs, small).count() == 5
 
 
+
+
+def test_pipeline_near_duplicates_from_four_fifths(spark, small):
+    import corpus_pipeline as cp
+
+    words = [f"w{i}" for i in range(86)]
+    texts = [" ".join(words), " ".join(words + [f"x{i}" for i in range(18)]), " ".join(words + [f"y{i}" for i in range(25)])]
+    # 82 of 100 and 82 of 107 shingles of five words are shared.
+    assert by_force(texts, 4, 85)[1] == [0, 1, 2] and by_force(texts, 5, 80)[1] == [0, 0, 2]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted(r.doc_id for r in cp.drop_near_duplicates(spark, docs, small).collect()) == [0, 2]
+    assert sorted({r.component_id for r in jaccard.near_duplicates(docs).collect()}) == [0, 1, 2]
