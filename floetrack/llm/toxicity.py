@@ -9,11 +9,12 @@ a bounded sample of labelled texts, by their highest windows, found anew in each
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from floetrack.llm import bytesview
@@ -28,6 +29,8 @@ INPUTS = 4 * len(TABLES)
 EMBED, HIDDEN, ATTEND = 4, 8, 8
 #: Bounds of the training sample: rows with label 1, rows with label 0, and bytes of text.
 SAMPLE_TOXIC, SAMPLE_CLEAN, SAMPLE_BYTES = 1000, 3000, 8_000_000
+#: A text of more bytes enters the sample by PIECES passages of PIECE characters (of 4 bytes at most), one from each part.
+ROW_BYTES, PIECES, PIECE = 32_768, 8, 1024
 _PAD = 30.0
 
 
@@ -292,6 +295,14 @@ def scores(p: dict, raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return out
 
 
+def passages(text: Column, key: Column) -> Column:
+    """A text of ROW_BYTES at most; of a longer one, passages at places given by a hash of the key."""
+    part = F.floor(F.length(text) / PIECES).cast("int")
+    # Over ROW_BYTES a text has PIECES * PIECE characters at least, so a passage fits in every part.
+    spots = F.transform(F.sequence(F.lit(0), F.lit(PIECES - 1)), lambda i: F.substring(text, i * part + 1 + F.pmod(F.xxhash64(key, i), part - PIECE + 1).cast("int"), F.lit(PIECE)))
+    return F.when(F.octet_length(text.cast("binary")) <= ROW_BYTES, text).otherwise(F.array_join(spots, " "))
+
+
 def fit(
     docs: DataFrame,
     labels: DataFrame,
@@ -305,17 +316,30 @@ def fit(
 ) -> dict[str, np.ndarray]:
     """Trains on at most ``toxic`` and ``clean`` labelled rows and ``size`` bytes, the first in the order of a hash of the key.
 
-    Rows with a null key, text or label are passed over. Only the sample's rows are broadcast, and only
-    its texts reach the driver.
+    A text over ROW_BYTES is trained on by passages of it, so no row takes more than that of ``size``. Of
+    ``size`` each label has its share by rows, and what the other label leaves. A label that has rows but
+    none in the sample gives a warning. Rows with a null key, text or label are passed over. Only the
+    sample's rows are broadcast, and only its texts reach the driver.
     """
     named = labels.where(F.col(key).isNotNull()).select(F.col(key).alias("_key"), F.col(label).cast("int").alias("label"), F.md5(F.col(key).cast("string").cast("binary")).alias("at"))
     parts = [named.where(F.col("label") == v).orderBy("at", "_key").limit(n) for v, n in ((0, clean), (1, toxic))]
     sample = F.broadcast(parts[0].union(parts[1]))  # at most clean + toxic rows of a few bytes
     both = docs.where(F.col(text).isNotNull()).select(F.col(key).alias("_key"), F.col(text).alias("text")).join(sample, "_key")
+    both = both.select("at", "label", passages(F.col("text"), F.col("_key")).alias("text"))
     both = both.withColumn("size", F.octet_length(F.col("text").cast("binary")).cast("long")).orderBy("at", "text").limit(clean + toxic)
-    both = both.withColumn("total", F.sum("size").over(Window.orderBy("at", "text", "label").rowsBetween(Window.unboundedPreceding, 0)))
-    held = both.where(F.col("total") <= size).orderBy("at", "text", "label").select("text", "label").toArrow()
-    return train(held.column("text").to_pylist(), held.column("label").to_pylist())
+    running, whole = Window.orderBy("at", "text", "label").rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy()
+    fits = F.lit(False)
+    for v, share in ((0, size * clean // max(clean + toxic, 1)), (1, size - size * clean // max(clean + toxic, 1))):
+        mine = (F.col("label") == v) & (F.col("size") <= share)  # a row over its label's share takes nothing of it
+        own, other = F.when(mine, F.col("size")).otherwise(0), F.when(F.col("label") != v, F.col("size")).otherwise(0)
+        left = F.lit(size) - F.least(F.sum(other).over(whole), F.lit(size - share))
+        fits = fits | (mine & (F.sum(own).over(running) <= left))
+    held = both.withColumn("fits", fits).where("fits").orderBy("at", "text", "label").select("text", "label").toArrow()
+    texts, known = held.column("text").to_pylist(), held.column("label").to_pylist()
+    for v in (0, 1):
+        if v not in known and not named.where(F.col("label") == v).isEmpty():
+            warnings.warn(f"no text of {label} = {v} is in the training sample, though rows have that label", stacklevel=2)
+    return train(texts, known)
 
 
 def predict(docs: DataFrame, model: dict[str, np.ndarray], *, text: str = "text") -> DataFrame:

@@ -205,6 +205,29 @@ def test_toxicity_sample_is_bounded(spark, monkeypatch):
     assert sum(map(len, seen["t"])) <= 30
 
 
+def test_toxicity_sample_outlives_long_rows(spark, monkeypatch):
+    order = sorted(range(40), key=lambda i: hashlib.md5(str(i).encode()).hexdigest())
+    texts = {i: f"w{i} text" for i in order} | {order[0]: "é word " * 1_300_000, order[1]: "𝄞" * 8_193}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(4)
+    labels = spark.createDataFrame([(i, n % 4 == 0) for n, i in enumerate(order)], "doc_id long, toxic boolean")
+    seen = {}
+    monkeypatch.setattr(toxicity, "train", lambda t, y: seen.update(t=t, y=y) or {"prior": np.array([0.5])})
+    toxicity.fit(docs, labels)
+    assert len(seen["t"]) == 40 and sum(seen["y"]) == 10
+    long = [t for t in seen["t"] if len(t) > 100]
+    slack = toxicity.PIECES - 1  # the spaces between passages
+    assert len(long) == 2 and all(len(t.encode()) <= toxicity.ROW_BYTES + slack and len(t) == toxicity.PIECES * toxicity.PIECE + slack for t in long)
+    again = list(seen["t"])
+    toxicity.fit(docs, labels)
+    assert seen["t"] == again
+    # The sum is by label: many clean bytes leave the few toxic rows in, and the whole stays within its bound.
+    toxicity.fit(docs.where(F.length("text") < 100), labels, size=200)
+    assert 0 < sum(seen["y"]) < 10 and sum(map(len, seen["t"])) <= 200
+    with pytest.warns(UserWarning, match="toxic = 1"):
+        toxicity.fit(docs, labels.where("NOT toxic OR doc_id = %d" % order[0]), size=300)
+    assert set(seen["y"]) == {0}
+
+
 # ---- licences ------------------------------------------------------------------------------------
 def test_licence_rules_need_order(spark):
     s = licences.SENTENCES
