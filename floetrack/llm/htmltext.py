@@ -4,8 +4,9 @@ A lenient parse yields the page's text nodes in order, each with its root-to-lea
 class and id). Per path, the text length and the punctuation for each node are aggregated; the ratios
 are smoothed along the page, by how much of their paths neighbouring nodes share, fused into one score,
 and paths at or above a threshold set by the scores' spread are selected. The deepest element that holds
-nearly all of the selected text is the article; all of its blocks count, short paragraphs and headings
-included, but those in containers that are never article text.
+nearly all of the selected text is the article, or an <article> above it; all of its blocks count, short
+paragraphs and headings included, but those in containers that are never article text. Selected text beside
+it counts as well, with all of the branch it stands in, and so do headings and paragraphs right above it.
 """
 
 from __future__ import annotations
@@ -26,6 +27,7 @@ RAW = frozenset("script style noscript template iframe svg math object canvas no
 BLOCK = frozenset("address article aside blockquote body br caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol option p pre search section summary table tbody td textarea tfoot th thead tr ul".split())
 NEVER = frozenset("nav aside footer header form menu button select textarea input label fieldset dialog search head".split())
 CLOSES_P = BLOCK - frozenset("br body html head option caption tbody td tfoot th thead tr legend".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 # Parts of class names, ids and roles that mark containers other than article text.
 HINTS = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense banner breadcrumb breadcrumbs byline captcha comment comments commentlist consent cookie cookies copyright discussion disqus dialog feedback footer footnav gdpr header legal masthead menu menubar modal nav navbar navigation newsletter notice notices pagination pager paywall popup promo promoted promotion recommended related replies reply responses search share sharing sidebar signup skip social sponsor sponsored subscribe subscription tagcloud toolbar topbar widget alert complementary contentinfo".split()
@@ -193,14 +195,39 @@ def main_text(page: str | None) -> str:
         # A lone paragraph is no article: its parent's other blocks belong to the text as well.
         if best is None or held[best] < COVER * total:
             break
+        if any(len(c) > depth and c[depth].tag == "article" for c, ok in zip(chains, inside, strict=True) if ok):
+            break
         tag = next(c[depth + 1].tag for c in chains if len(c) > depth + 1 and c[depth + 1].number == best)
         if tag in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "pre", "blockquote", "td", "dd", "dt", "ul", "ol", "table", "tbody", "tr"):
             break
         inside &= np.array([len(c) > depth + 1 and c[depth + 1].number == best for c in chains])
         depth += 1
+    if not inside.all():
+        inside |= _beside(found, chains, inside, chosen, depth)
     return " ".join(t for (t, _, _), ok in zip(found, inside, strict=True) if ok)
 
 
+def _beside(found: list, chains: list, inside: np.ndarray, chosen: np.ndarray, depth: int) -> np.ndarray:
+    """Which blocks outside the article belong to it: branches with selected paths, headings and paragraphs beside its ancestors."""
+    first = int(np.flatnonzero(inside)[0])
+    line = [n.number for n in chains[first][: depth + 1]]
+    paths = {found[i][1].path for i in np.flatnonzero(chosen)}
+    branch, taken = [], set()
+    for i, (text, node, linked) in enumerate(found):
+        chain = chains[i]
+        k = 0
+        while k < min(len(chain), len(line)) and chain[k].number == line[k]:
+            k += 1
+        # The element next to the article or to one of its ancestors; text right in an ancestor is its own branch.
+        own = chain[k].number if k < len(chain) else -1 - i
+        branch.append(own)
+        if inside[i]:
+            continue
+        if node.path in paths or k < len(chain) and linked * 2 < len(text) and (chain[k].tag in HEADINGS and i < first or chain[k].tag == "p" and chain[k - 1].tag not in ("", "html", "body")):
+            taken.add(own)
+    return np.array([b in taken for b in branch])
+
+
 def extract(pages: DataFrame, html_column: str = "html") -> DataFrame:
     """``pages`` with text and n_chars (code points); columns of these names are replaced.
 

@@ -260,6 +260,14 @@ def test_main_text(page):
     assert htmltext.main_text(page) == TEXT
 
 
+@pytest.mark.parametrize("wrap", ["<article>%s</article>", "<div class=post>%s</div>"])
+def test_text_beside_the_longest_section(wrap):
+    long, short = "A sentence of some length, with marks, in it. " * 40, "The second section, a tenth of all, has marks as well. " * 4
+    page = "<body><nav><a href=/>Home</a></nav>" + wrap % f"<h1>T</h1><p>Lead paragraph.</p><section><h2>One</h2><p>{long}</p></section><section><h2>Two</h2><p>{short}</p></section>" + "<div><a href=1>More</a> <a href=2>Less</a></div><footer>Us.</footer></body>"
+    want = " ".join(f"T Lead paragraph. One {long} Two {short}".split())
+    assert htmltext.main_text(page) == want
+
+
 def test_open_tags_and_odd_pages(spark):
     assert htmltext.main_text("<article><p><b>One is here.<br><p>Two, as well</article><footer>x") == "One is here. Two, as well"
     assert htmltext.main_text("plain text & more") == "plain text & more" and htmltext.main_text("<p") == "<p"
