@@ -25,13 +25,16 @@ from pyspark.sql import functions as F
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template iframe svg math object canvas noembed noframes title".split())
 BLOCK = frozenset("address article aside blockquote body br caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol option p pre search section summary table tbody td textarea tfoot th thead tr ul".split())
-NEVER = frozenset("nav aside footer header form menu button select textarea input label fieldset dialog search head".split())
+NEVER = frozenset("nav aside footer header menu button select textarea input label fieldset dialog search head".split())
 CLOSES_P = BLOCK - frozenset("br body html head option caption tbody td tfoot th thead tr legend".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 # Parts of class names, ids and roles that mark containers other than article text.
 HINTS = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense banner breadcrumb breadcrumbs byline captcha comment comments commentlist consent cookie cookies copyright discussion disqus dialog feedback footer footnav gdpr header legal masthead menu menubar modal nav navbar navigation newsletter notice notices pagination pager paywall popup promo promoted promotion recommended related replies reply responses search share sharing sidebar signup skip social sponsor sponsored subscribe subscription tagcloud toolbar topbar widget alert complementary contentinfo".split()
 )
+# Parts that may stand beside those in a name without changing what it marks; of those, talk about the page.
+PLACES = frozenset("site page main global top bottom left right center primary secondary inner outer box bar block area section container wrapper wrap content list item items link links button buttons post posts form title text module panel group row col column".split())
+TALK = frozenset("comment comments commentlist discussion disqus replies reply responses".split())
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>",
     re.S,
@@ -44,18 +47,32 @@ SMOOTH, THRESHOLD, COVER = 2, 0.5, 0.8
 
 
 class Node:
-    """An open element: its tag, path and whether it can hold article text."""
+    """An open element: its tag, path, whether it can hold article text, and whether a name or a form marks it."""
 
-    __slots__ = ("never", "number", "path", "tag", "up")
+    __slots__ = ("mark", "marks", "never", "number", "path", "tag", "up")
 
-    def __init__(self, tag: str, path: str, number: int, never: bool, up: Node | None):
-        self.tag, self.path, self.number, self.never, self.up = tag, path, number, never, up
+    def __init__(self, tag: str, path: str, number: int, never: bool, mark: str, up: Node | None):
+        self.tag, self.path, self.number, self.never, self.mark, self.up = tag, path, number, never, mark, up
+        above = up.marks if up is not None else ()
+        self.marks: tuple[Node, ...] = (*above, self) if mark else above
 
 
-def _hinted(tag: str, attributes: str) -> tuple[str, bool]:
-    """The path's step for a tag, and whether its names mark a container other than article text."""
+def _named(names: list[str]) -> str:
+    """"talk" or "name" if a whole name of an element marks it: one with a hint and nothing but hints and places."""
+    found = ""
+    for token in (t for n in names for t in n.split()):
+        parts = set(_PARTS.findall(token))
+        if parts & HINTS and parts <= HINTS | PLACES:
+            if parts & TALK:
+                return "talk"
+            found = "name"
+    return found
+
+
+def _hinted(tag: str, attributes: str) -> tuple[str, bool, str]:
+    """The path's step for a tag, whether it is hidden, and the mark of its names."""
     if not attributes.strip() or tag in ("html", "body"):
-        return tag, False
+        return tag, False, ""
     names, hidden = [], False
     for m in _ATTRIBUTE.finditer(attributes):
         name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
@@ -64,12 +81,13 @@ def _hinted(tag: str, attributes: str) -> tuple[str, bool]:
         hidden |= name == "style" and "display:none" in value.replace(" ", "") or name == "aria-hidden" and value == "true"
     hidden |= re.search(r"(?:^|\s)hidden(?:\s|$|=)", re.sub(r"\"[^\"]*\"|'[^']*'", "", attributes)) is not None
     parts = {p for n in names for p in _PARTS.findall(n)}
-    return f"{tag}.{'.'.join(sorted(parts))}" if parts else tag, hidden or bool(parts & HINTS and not (parts & {"article", "content", "body"} and tag in ("article", "main")))
+    mark = _named(names) if parts & HINTS and not (tag == "main" or parts & {"article", "content", "body"} and tag == "article") else ""
+    return f"{tag}.{'.'.join(sorted(parts))}" if parts else tag, hidden, mark
 
 
 def blocks(page: str) -> list[tuple[str, Node, int]]:
     """(text, innermost block element, characters within links) of each block with text, in page order."""
-    top = Node("", "", 0, False, None)
+    top = Node("", "", 0, False, "", None)
     at, number, links = top, 0, 0
     out: list[tuple[str, Node, int]] = []
     text: list[str] = []
@@ -117,11 +135,12 @@ def blocks(page: str) -> list[tuple[str, Node, int]]:
         if tag == "a":
             links = 1
         if tag not in BLOCK:
-            step, never = _hinted(tag, m[3])
-            if never or tag in NEVER:
-                # An inline element that is no article text is skipped to its end.
+            _, never, mark = _hinted(tag, m[3])
+            if never or mark or tag in NEVER:
+                # An inline element that is no article text is skipped to its end; by its name only if it is no wrapper of the page.
                 if not m[0].endswith("/>") and tag not in VOID and (end := re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, pos)):
-                    pos = end.end()
+                    if never or tag in NEVER or 2 * (end.start() - pos) < size:
+                        pos = end.end()
             continue
         flush()
         if tag in ("br", "hr"):
@@ -137,19 +156,14 @@ def blocks(page: str) -> list[tuple[str, Node, int]]:
             if last is not None:
                 at = last.up
         number += 1
-        step, never = _hinted(tag, m[3])
-        at = Node(tag, f"{at.path}/{step}", number, at.never or never or tag in NEVER, at)
+        step, never, mark = _hinted(tag, m[3])
+        at = Node(tag, f"{at.path}/{step}", number, at.never or never or tag in NEVER, mark or ("form" if tag == "form" else ""), at)
     flush()
     return out
 
 
-def main_text(page: str | None) -> str:
-    """The main text of a page; empty if there is none."""
-    if not page:
-        return ""
-    found = [b for b in blocks(page) if not b[1].never]
-    if not found:
-        return ""
+def _selected(found: list[tuple[str, Node, int]]) -> np.ndarray:
+    """Which blocks the ratios of their paths select."""
     # Ratios for each path: characters outside links, and punctuation marks, by node.
     length, stops, nodes = defaultdict(float), defaultdict(float), defaultdict(int)
     for text, node, linked in found:
@@ -174,7 +188,57 @@ def main_text(page: str | None) -> str:
         return total / weight
 
     fused = smooth(ratio) * (0.5 + smooth(mark))
-    chosen = fused >= min(THRESHOLD * fused.std(), fused.max()) if fused.max() > 0 else np.ones(len(found), bool)
+    return fused >= min(THRESHOLD * fused.std(), fused.max()) if fused.max() > 0 else np.ones(len(found), bool)
+
+
+def _within_article(node: Node | None) -> bool:
+    while node is not None:
+        if node.tag in ("article", "main"):
+            return True
+        node = node.up
+    return False
+
+
+def _unmarked(found: list[tuple[str, Node, int]]) -> list[tuple[str, Node, int]]:
+    """The blocks outside marked containers. A mark does not hold for a container of most of the page's selected text.
+
+    Beside such a container less than a share 1 - COVER of the text may stand unmarked, none in an article of
+    its own, and beside talk none at all: a long thread of comments, or an advert longer than a short article, is
+    not the page.
+    """
+    marked = {n.number: n for _, node, _ in found for n in node.marks}
+    if not marked:
+        return found
+    plain = np.array([len(t) - linked for t, _, linked in found], float)
+    own = [{n.number for n in node.marks} for _, node, _ in found]
+    under = {k: sum(plain[i] for i in range(len(found)) if k in own[i]) for k in marked} if len(marked) < 50 else dict.fromkeys(marked, plain.sum())
+    # Most pages have small ones only; those need no scores.
+    if 4 * max(under.values()) >= plain.sum():
+        weight = np.where(_selected(found), plain, 0.0)
+        cleared: set[int] = set()
+        for k in sorted(marked):  # outer ones first
+            if any(n.number not in cleared for n in marked[k].marks[:-1]):
+                continue
+            inside = sum(weight[i] for i in range(len(found)) if k in own[i])
+            # Beside a form only selected text counts; a name gives way to any text outside links.
+            rest = [i for i in range(len(found)) if k not in own[i] and own[i] <= cleared]
+            beside = sum((weight if marked[k].mark == "form" else plain)[rest])
+            if any(plain[i] > 0 and _within_article(found[i][1]) for i in rest) and not _within_article(marked[k]):
+                continue
+            if 2 * inside > weight.sum() and beside <= (0 if marked[k].mark == "talk" else (1 - COVER) * (inside + beside)):
+                cleared.add(k)
+        return [b for b, o in zip(found, own, strict=True) if o <= cleared]
+    return [b for b, o in zip(found, own, strict=True) if not o]
+
+
+def main_text(page: str | None) -> str:
+    """The main text of a page; empty if there is none."""
+    if not page:
+        return ""
+    found = _unmarked([b for b in blocks(page) if not b[1].never])
+    if not found:
+        return ""
+    chosen = _selected(found)
     size = np.array([len(t) for t, _, _ in found])
     # The deepest element with nearly all selected text, from the root down.
     chains = []

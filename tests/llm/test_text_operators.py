@@ -268,6 +268,20 @@ def test_text_beside_the_longest_section(wrap):
     assert htmltext.main_text(page) == want
 
 
+@pytest.mark.parametrize(
+    "wrap",
+    ["<div class='page no-sidebar'>%s</div>", "<article class='post comments-open'>%s</article>", "<div class='layout header-fixed'>%s</div>", "<main class=legal>%s</main>", "<div class='legal'>%s</div>", "<form action=/>%s<input></form>", "<form><div class=search>%s</div></form>", "<x-app class=widget>%s</x-app>"],
+)
+def test_wrapped_pages(wrap):
+    side = "<div class='comments'><p>I disagree, with all of this, and more. Much more, indeed, and at length.</p></div><div class='site-footer'>Us, and all of it.</div>"
+    page = "<body><nav><a href=/>Home</a></nav>" + wrap % (f"<div>{ARTICLE}</div>" + side) + "<footer>Us.</footer></body>"
+    assert htmltext.main_text(page) == TEXT
+    # A long thread beside a short article is no wrapper.
+    thread = "<div class='comments'>" + "<p>I disagree, with all of this, and more. Much more, indeed.</p>" * 50 + "</div>"
+    assert htmltext.main_text(f"<body><article>{ARTICLE}</article>{thread}</body>") == TEXT
+    assert htmltext.main_text("<div class=ad>A long advert, with marks. Really long, as these go.</div><article><h1>A head.</h1></article>") == "A head."
+
+
 def test_open_tags_and_odd_pages(spark):
     assert htmltext.main_text("<article><p><b>One is here.<br><p>Two, as well</article><footer>x") == "One is here. Two, as well"
     assert htmltext.main_text("plain text & more") == "plain text & more" and htmltext.main_text("<p") == "<p"
