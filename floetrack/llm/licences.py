@@ -2,7 +2,8 @@
 
 A text is cut into sentences, each is normalised (A-Z lower-cased, everything but a-z and 0-9 one space)
 and looked up in a fixed table of known licence sentences; the identifiers found, in their order, are
-matched against rules, each an ordered sequence of identifiers. All of it happens within a row: no shuffle.
+matched against rules, each an ordered sequence of identifiers. A sentence wrapped over lines is found across
+single newlines; the SQL knows sentences on one line only. All of it happens within a row: no shuffle.
 """
 
 from __future__ import annotations
@@ -98,10 +99,16 @@ def known() -> dict[str, str]:
     return out
 
 
-def sentences(text: Column) -> Column:
-    """The normalised sentences of a text, empty ones included; null for null."""
-    low = F.translate(F.translate(text, "|", " "), UPPER, LOWER)
-    return F.split(F.regexp_replace(F.regexp_replace(F.regexp_replace(low, CUT, "|"), NOISE, " "), r" ?\| ?", "|"), r"\|")
+#: As CUT, with blank lines apart from single newlines, which ``~`` marks; in ``_WRAPPED`` lines may be joined.
+_HARD, _NOISE = r"[.!?:;]+([ \t\r\n]+|$)|\n([ \t\r]*\n)+", r"[^a-z0-9|~]+"
+_WRAPPED = "(?:^|[|~])(" + "|".join(k.replace(" ", "[ ~]") for k in sorted(known(), key=len, reverse=True)) + ")(?=[|~]|$)"
+
+
+def marked(text: Column) -> Column:
+    """A text's normalised lines and sentences, cut by ``~`` at a single newline and ``|`` elsewhere; null for null."""
+    low = F.translate(F.translate(text, "|~", "  "), UPPER, LOWER)
+    cut = F.regexp_replace(F.regexp_replace(low, _HARD, "|"), r"\n", "~")
+    return F.trim(F.regexp_replace(F.regexp_replace(cut, _NOISE, " "), r" ?([|~]) ?", "$1"))
 
 
 def scan(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -113,13 +120,13 @@ def scan(docs: DataFrame, text: str = "text") -> DataFrame:
     made = ("n_sentences", "sentence_ids", "licences")
     kept = docs.drop(*made)
     table = F.create_map(*[F.lit(x) for pair in known().items() for x in pair])
-    parts = F.filter(F.transform(F.coalesce(sentences(F.col(text)), F.array().cast("array<string>")), lambda s: F.trim(s)), lambda s: s != "")
-    rows = kept.withColumn("_parts", parts)
-    rows = rows.withColumn("sentence_ids", F.array_join(F.filter(F.transform("_parts", lambda s: table[s]), lambda x: x.isNotNull()), ","))
+    rows = kept.withColumn("_marked", F.coalesce(marked(F.col(text)), F.lit("")))
+    found = F.regexp_extract_all("_marked", F.lit(_WRAPPED), F.lit(1))
+    rows = rows.withColumn("sentence_ids", F.array_join(F.transform(found, lambda s: table[F.translate(s, "~", " ")]), ","))
     framed = F.concat(F.lit(","), F.col("sentence_ids"), F.lit(","))
     hits = [F.when(framed.rlike("(,.*)?".join(f",{x}" for x in ids) + ","), F.lit(name)) for name, ids in RULES]
     rows = rows.withColumn("licences", F.array_join(F.array_distinct(F.filter(F.array(*hits), lambda x: x.isNotNull())), ","))
-    return rows.withColumn("n_sentences", F.size("_parts").cast("long")).select(*kept.columns, *made)
+    return rows.withColumn("n_sentences", F.size(F.filter(F.split("_marked", "[|~]"), lambda s: F.trim(s) != "")).cast("long")).select(*kept.columns, *made)
 
 
 def scan_sql() -> str:

@@ -242,6 +242,19 @@ def test_licence_rules_need_order(spark):
         assert name in row.sentence_ids.split(","), name
 
 
+def test_wrapped_licences(spark):
+    import textwrap
+
+    s = licences.SENTENCES
+    wrapped = lambda *names, mark="", end="\n": end.join(mark + line for n in names for line in [*textwrap.wrap(s[n], 72 - len(mark)), ""])
+    apache = ("apache-head", "apache-use", "apache-copy", "apache-basis")
+    bsd = ("bsd-grant", "bsd-source", "bsd-binary", "bsd-names")
+    texts = [wrapped("mit-grant", "mit-notice", "as-is"), wrapped(*apache, mark="# "), wrapped(*bsd, mark=" * ", end="\r\n"), wrapped("gpl-free", "gpl-hope", mark="// "), wrapped("isc-grant"), "Copyright Foo\n" + wrapped("isc-grant") + "words after"]
+    broken = wrapped("isc-grant").replace("\n", "\n\n")
+    got = licences.scan(odd(spark, [*texts, broken])).orderBy("extra").collect()
+    assert [r.licences for r in got] == ["MIT", "Apache-2.0", "BSD-3-Clause,BSD-2-Clause", "GPL-3.0-or-later", "ISC", "ISC", ""]
+
+
 # ---- HTML ----------------------------------------------------------------------------------------
 ARTICLE = "<h1>Head &amp; all</h1><p>First  part, with <b>bold</b> and&nbsp;<i>more</i>. Long enough, it says.</p><p>Second one.<br>Third &lt;one&gt;, still here; yes.</p><ul><li>A point.</li></ul>"
 TEXT = "Head & all First part, with bold and more. Long enough, it says. Second one. Third <one>, still here; yes. A point."
