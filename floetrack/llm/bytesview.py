@@ -9,7 +9,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes handled at a time: arrays of 8 bytes for each stay small. A longer text is a chunk of its own.
-CHUNK_BYTES = 1 << 21
+CHUNK_BYTES = 1 << 19
 _ODD = 0x9E3779B97F4A7C15
 _powers: dict[str, np.ndarray] = {}
 

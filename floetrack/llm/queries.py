@@ -55,7 +55,7 @@ def op5_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_metric_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = jaccard.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return out.withColumnRenamed("id", "doc_id")
+    return out.select(F.col("id").alias("doc_id"), "n_shingles", "component_id")
 
 
 def op7_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
