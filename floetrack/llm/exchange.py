@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 #: Entries of a bucket, about.
-BUCKET = 1_500_000
+BUCKET = 500_000
 #: What a batch sends: (None, columns) for settled entries, (ascending 48-bit hashes, columns) for the others.
 Sent = Iterator[tuple[np.ndarray | None, list[np.ndarray]]]
 

@@ -322,7 +322,7 @@ def entries(sets: DataFrame, numerator: int, denominator: int) -> DataFrame:
     return out
 
 
-def _runs(sizes: list[int], most: int = exchange.BUCKET) -> Iterator[tuple[int, int]]:
+def _runs(sizes: list[int], most: int = 200_000) -> Iterator[tuple[int, int]]:
     """Runs of rows of at most ``most`` values, or of one row."""
     a, total = 0, 0
     for i, size in enumerate(sizes):
