@@ -3,8 +3,9 @@
 A word enters as its own embedding beside those of its characters: of its first 4 and first 6 bytes, and
 the mean of its character 4-grams (all hashed).
 Overlapping windows of words run forward and backward through gated recurrent units; attention over
-all of a window's states gives its score; a text's score is that of its highest window. Training is on
-a bounded sample of labelled texts, by their highest windows, found anew in each round.
+all of a window's states gives its score; a text's score is that of its highest window. Training starts from
+random values, on a bounded sample of labelled texts: a text's windows are a bag with one label, and of their
+scores, pooled softly, the gradient goes to the highest. It runs in one task; the driver gets the parameters.
 """
 
 from __future__ import annotations
@@ -29,6 +30,8 @@ INPUTS = 4 * len(TABLES)
 EMBED, HIDDEN, ATTEND = 4, 8, 8
 #: Bounds of the training sample: rows with label 1, rows with label 0, and bytes of text.
 SAMPLE_TOXIC, SAMPLE_CLEAN, SAMPLE_BYTES = 1000, 3000, 8_000_000
+#: Of the sample, one text in HOLD sets the threshold and is not trained on. Texts of a step by label, and windows of a text.
+HOLD, STEP_TOXIC, STEP_CLEAN, BAG = 5, 8, 24, 12
 #: A text of more bytes enters the sample by PIECES passages of PIECE characters (of 4 bytes at most), one from each part.
 ROW_BYTES, PIECES, PIECE = 32_768, 8, 1024
 _PAD = 30.0
@@ -91,7 +94,7 @@ class Words:
         text = np.repeat(np.arange(len(size)), many)
         nth = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
         at = (self.first[:-1][text] + nth * STEP)[:, None] + np.arange(WIDTH)
-        return np.where(at < self.first[1:][text][:, None], at, len(self)), text
+        return np.where(at < self.first[1:][text][:, None], at, len(self)).astype(np.int32), text
 
 
 def initial(rng: np.random.Generator) -> dict[str, np.ndarray]:
@@ -143,14 +146,24 @@ def window_logits(p: dict, words: Words, spots: np.ndarray) -> np.ndarray:
     return _pool(p, both, spots == len(words))[0]
 
 
-def _gradients(p: dict, words: Words, spots: np.ndarray, label: np.ndarray, weight: np.ndarray) -> dict[str, np.ndarray]:
-    """The gradient of the weighted cross entropy of some windows."""
+def bag_slopes(logit: np.ndarray, bag: np.ndarray, label: np.ndarray) -> np.ndarray:
+    """The slope, for each window's score, of the cross entropy of the soft highest scores of bags; either label weighs a half."""
+    top = np.full(len(label), -np.inf)
+    np.maximum.at(top, bag, logit)
+    grown = np.exp(logit - top[bag])
+    total = np.bincount(bag, grown, len(label))
+    weight = np.where(label == 1, 0.5 / max((label == 1).sum(), 1), 0.5 / max((label == 0).sum(), 1))
+    return (((_sigmoid(top + np.log(total)) - label) * weight)[bag] * grown / total[bag]).astype(np.float32)
+
+
+def _gradients(p: dict, words: Words, spots: np.ndarray, bag: np.ndarray, label: np.ndarray) -> dict[str, np.ndarray]:
+    """The gradient of the loss of some bags of windows; ``bag`` numbers each window's."""
     h, n = HIDDEN, len(spots)
     x = words.inputs(p)
     kept: dict[str, list] = {"f": [], "b": []}
     both = np.concatenate([_states(p, x, spots, way, kept[way]) for way in ("f", "b")], axis=2)
     logit, pooled, share, inner = _pool(p, both, spots == len(words))
-    d_logit = ((_sigmoid(logit) - label) * weight / weight.sum()).astype(np.float32)
+    d_logit = bag_slopes(logit.astype(np.float64), bag, label)
     g = {"o": pooled.T @ d_logit, "oc": np.array([d_logit.sum()], np.float32)}
     d_pooled = d_logit[:, None] * p["o"]
     d_both = share[:, :, None] * d_pooled
@@ -198,63 +211,51 @@ def _gradients(p: dict, words: Words, spots: np.ndarray, label: np.ndarray, weig
     return g
 
 
-def _log_odds(words: Words, name: str, label: np.ndarray) -> np.ndarray:
-    """Of each bucket of a table, the shrunken log odds that a text with it is labelled 1."""
-    one, both, size = np.zeros(1 << BITS), np.zeros(1 << BITS), len(label)
-    for a in range(0, size, 100):  # some texts at a time
-        s, e = words.first[a], words.first[min(a + 100, size)]
-        owner = np.repeat(np.arange(a, min(a + 100, size)), np.diff(words.first[a : a + 101]))
-        if name == "gram":
-            many = np.maximum(words.count[s:e], 0)
-            place = np.repeat(words.begin[s:e] - (np.cumsum(many) - many), many) + np.arange(many.sum())
-            bucket, owner = words.gram[place], np.repeat(owner, many)
-        else:
-            bucket = words.spans[name][s:e]
-        pairs = np.unique(bucket.astype(np.int64) * size + owner)
-        one += np.bincount(pairs // size, label[pairs % size], minlength=1 << BITS)
-        both += np.bincount(pairs // size, minlength=1 << BITS)
-    total = label.sum()
-    odds = np.log((one + 0.5) / (total + 1)) - np.log((both - one + 0.5) / (size - total + 1))
-    return (np.clip(odds, -4, 4) * both / (both + 4.0)).astype(np.float32)
-
-
-def train(texts: list[str], labels: list[int], *, rounds: int = 5, steps: int = 60, batch: int = 192, rate: float = 0.01, table_rate: float = 0.05, seed: int = 7) -> dict[str, np.ndarray]:
+def train(texts: list[str], labels: list[int], *, steps: int = 400, rate: float = 0.01, table_rate: float = 0.03, seed: int = 7) -> dict[str, np.ndarray]:
     """The parameters, with ``prior``, the share of label 1. Texts of one label only, or none, give just the prior."""
     label = np.array(labels, np.float32)
-    prior = float((label.sum() + 0.5) / (len(label) + 1.0)) if len(label) else 0.0
+    prior = {"prior": np.array([float((label.sum() + 0.5) / (len(label) + 1.0)) if len(label) else 0.0])}
     if not len(label) or label.min() == label.max():
-        return {"prior": np.array([prior])}
+        return prior
     words = Words.of(texts)
     spots, text = words.windows()
     rng = np.random.default_rng(seed)
+    begin = np.flatnonzero(np.diff(text, prepend=-1))
+    many, known = np.diff(np.append(begin, len(text))), label[text[begin]]
+    aside = rng.permutation(len(begin)) % HOLD == 0
+    if min(np.bincount(known[aside].astype(int), minlength=2)) < 5:
+        aside[:] = False  # too few to set a threshold by
+    toxic, clean = np.flatnonzero((known == 1) & ~aside), np.flatnonzero((known == 0) & ~aside)
+    if not len(toxic) or not len(clean):
+        return prior
     p = initial(rng)
-    if not len(spots):
-        return {"prior": np.array([prior])}
-    # Embeddings start with the log odds of their bucket in the first place.
-    for name in TABLES:
-        p[name][:, 0] = _log_odds(words, name, label) / 2
-    guess = sum(p[name][words.spans[name], 0] for name in SPANS) + words.mean_grams(p["gram"][:, :1])[:, 0]
-    top = np.append(np.maximum(guess - 1.0, 0.0), 0.0)[spots].sum(axis=1)
-    (first, second), step = ({k: np.zeros_like(v) for k, v in p.items()} for _ in range(2)), 0
-    for turn in range(rounds):
-        if turn:
-            top = np.concatenate([window_logits(p, *_part(words, spots[a : a + 4000])) for a in range(0, len(spots), 4000)])
-        order = np.lexsort((top, text))
-        last = order[np.append(text[order][1:] != text[order][:-1], True)]  # each text's highest window
-        clean = np.flatnonzero(label[text] == 0)
-        extra = rng.choice(clean, size=min(len(clean), len(last)), replace=False)  # other windows of clean texts
-        pick = np.concatenate([last, extra])
-        toxic, other = pick[label[text[pick]] == 1], pick[label[text[pick]] == 0]
-        for _ in range(steps):
-            part = np.concatenate([rng.choice(toxic, batch // 3), rng.choice(other, batch - batch // 3)])
-            g = _gradients(p, *_part(words, spots[part]), label[text[part]], np.ones(len(part), np.float32))
-            step += 1
-            for k, v in g.items():
-                first[k] += 0.1 * (v - first[k])
-                second[k] += 0.01 * (v * v - second[k])
-                slow = table_rate if k in TABLES else 1.0
-                p[k] -= (slow * rate * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.99**step)) + 1e-6)).astype(np.float32)
-    return p | {"prior": np.array([prior])}
+    first, second = ({k: np.zeros_like(v) for k, v in p.items()} for _ in range(2))
+    for step in range(1, steps + 1):
+        chosen = np.concatenate([rng.choice(toxic, STEP_TOXIC), rng.choice(clean, STEP_CLEAN)])
+        windows = [begin[i] + (rng.choice(many[i], BAG, replace=False) if many[i] > BAG else np.arange(many[i])) for i in chosen]
+        bag = np.repeat(np.arange(len(chosen)), [len(w) for w in windows])
+        g = _gradients(p, *_part(words, spots[np.concatenate(windows)]), bag, known[chosen])
+        slower = 1 - (step - 1) / steps
+        for k, v in g.items():
+            first[k] += 0.1 * (v - first[k])
+            second[k] += 0.01 * (v * v - second[k])
+            scale = slower * (table_rate if k in TABLES else rate) / (1 - 0.9**step)
+            p[k] -= (scale * first[k] / (np.sqrt(second[k] / (1 - 0.99**step)) + 1e-6)).astype(np.float32)
+    if aside.any():
+        p["oc"] = p["oc"] - np.float32(_threshold(p, words, spots, begin, many, np.flatnonzero(aside), known))
+    return p | prior
+
+
+def _threshold(p: dict, words: Words, spots: np.ndarray, begin: np.ndarray, many: np.ndarray, texts: np.ndarray, label: np.ndarray) -> float:
+    """The score, before the sigmoid, that best parts the labels of some texts; a clean text rejected counts as two toxic ones let through, by shares."""
+    top = np.array([window_logits(p, *_part(words, spots[begin[i] : begin[i] + many[i]])).max() for i in texts], np.float64)
+    order = np.argsort(top)
+    top, one = top[order], label[texts][order] == 1
+    cuts = np.concatenate([[top[0] - 1], (top[1:] + top[:-1]) / 2, [top[-1] + 1]])
+    missed = np.append(0, np.cumsum(one)) / one.sum()
+    false = np.append(np.cumsum(~one[::-1])[::-1], 0) / (~one).sum()
+    best = np.flatnonzero(missed + 2 * false <= (missed + 2 * false).min() + 1e-12)
+    return float(cuts[best[len(best) // 2]])
 
 
 class _Subset(Words):
@@ -303,7 +304,7 @@ def passages(text: Column, key: Column) -> Column:
     return F.when(F.octet_length(text.cast("binary")) <= ROW_BYTES, text).otherwise(F.array_join(spots, " "))
 
 
-def fit(
+def sample(
     docs: DataFrame,
     labels: DataFrame,
     *,
@@ -313,33 +314,50 @@ def fit(
     toxic: int = SAMPLE_TOXIC,
     clean: int = SAMPLE_CLEAN,
     size: int = SAMPLE_BYTES,
-) -> dict[str, np.ndarray]:
-    """Trains on at most ``toxic`` and ``clean`` labelled rows and ``size`` bytes, the first in the order of a hash of the key.
+) -> DataFrame:
+    """(at, label, text): at most ``toxic`` and ``clean`` labelled rows and ``size`` bytes, the first in the order of a hash of the key.
 
-    A text over ROW_BYTES is trained on by passages of it, so no row takes more than that of ``size``. Of
-    ``size`` each label has its share by rows, and what the other label leaves. A label that has rows but
-    none in the sample gives a warning. Rows with a null key, text or label are passed over. Only the
-    sample's rows are broadcast, and only its texts reach the driver.
+    A text over ROW_BYTES enters by passages of it, so no row takes more than that of ``size``. Of ``size`` each
+    label has its share by rows, and what the other label leaves. Rows with a null key, text or label are
+    passed over. The rows are chosen by lengths alone; only the chosen texts are moved.
     """
     named = labels.where(F.col(key).isNotNull()).select(F.col(key).alias("_key"), F.col(label).cast("int").alias("label"), F.md5(F.col(key).cast("string").cast("binary")).alias("at"))
     parts = [named.where(F.col("label") == v).orderBy("at", "_key").limit(n) for v, n in ((0, clean), (1, toxic))]
-    sample = F.broadcast(parts[0].union(parts[1]))  # at most clean + toxic rows of a few bytes
-    both = docs.where(F.col(text).isNotNull()).select(F.col(key).alias("_key"), F.col(text).alias("text")).join(sample, "_key")
-    both = both.select("at", "label", passages(F.col("text"), F.col("_key")).alias("text"))
-    both = both.withColumn("size", F.octet_length(F.col("text").cast("binary")).cast("long")).orderBy("at", "text").limit(clean + toxic)
-    running, whole = Window.orderBy("at", "text", "label").rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy()
+    some = F.broadcast(parts[0].union(parts[1]))  # at most clean + toxic rows of a few bytes
+    texts = docs.where(F.col(text).isNotNull()).select(F.col(key).alias("_key"), F.col(text).alias("text"))
+    sized = texts.join(some, "_key").select("_key", "at", "label", F.xxhash64("text").alias("h"), F.octet_length(passages(F.col("text"), F.col("_key")).cast("binary")).cast("long").alias("size"))
+    sized = sized.orderBy("at", "h", "label").limit(clean + toxic)
+    running, whole = Window.orderBy("at", "h", "label").rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy()
     fits = F.lit(False)
     for v, share in ((0, size * clean // max(clean + toxic, 1)), (1, size - size * clean // max(clean + toxic, 1))):
         mine = (F.col("label") == v) & (F.col("size") <= share)  # a row over its label's share takes nothing of it
         own, other = F.when(mine, F.col("size")).otherwise(0), F.when(F.col("label") != v, F.col("size")).otherwise(0)
         left = F.lit(size) - F.least(F.sum(other).over(whole), F.lit(size - share))
         fits = fits | (mine & (F.sum(own).over(running) <= left))
-    held = both.withColumn("fits", fits).where("fits").orderBy("at", "text", "label").select("text", "label").toArrow()
-    texts, known = held.column("text").to_pylist(), held.column("label").to_pylist()
-    for v in (0, 1):
-        if v not in known and not named.where(F.col("label") == v).isEmpty():
+    chosen = F.broadcast(sized.withColumn("fits", fits).where("fits").groupBy("_key", "at", "label", "h").agg(F.count("*").alias("rows")))
+    found = texts.withColumn("h", F.xxhash64("text")).join(chosen, ["_key", "h"])
+    found = found.select("at", "label", passages(F.col("text"), F.col("_key")).alias("text"), "rows")
+    return found.groupBy("at", "label", "text").agg(F.max("rows").alias("rows")).select("at", "label", "text", F.explode(F.array_repeat(F.lit(0), F.col("rows").cast("int")))).select("at", "label", "text")
+
+
+def fit(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", key: str = "doc_id", **bounds) -> dict[str, np.ndarray]:
+    """Trains on ``sample(docs, labels, ...)`` in one task of an executor; of a bounded size, whatever the input.
+
+    A label that has rows but none in the sample gives a warning. Empty tables give a model with the prior alone.
+    """
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = sorted((row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns), strict=True)), key=lambda r: (r[0], r[2], r[1]))
+        p = train([r[2] for r in rows], [r[1] for r in rows])
+        p["seen"] = np.bincount([r[1] for r in rows], minlength=2)
+        yield pa.RecordBatch.from_arrays([pa.array(list(p)), pa.array([str(v.dtype) for v in p.values()]), pa.array([list(v.shape) for v in p.values()], pa.list_(pa.int64())), pa.array([v.tobytes() for v in p.values()], pa.binary())], names=["name", "kind", "shape", "data"])
+
+    rows = sample(docs, labels, label=label, key=key, **bounds).repartition(1).mapInArrow(learn, "name string, kind string, shape array<long>, data binary").collect()
+    model = {r["name"]: np.frombuffer(r["data"], r["kind"]).reshape(r["shape"]) for r in rows} or {"prior": np.zeros(1), "seen": np.zeros(2)}
+    for v, seen in enumerate(model.pop("seen")):
+        if not seen and not labels.where(F.col(key).isNotNull() & (F.col(label).cast("int") == v)).isEmpty():
             warnings.warn(f"no text of {label} = {v} is in the training sample, though rows have that label", stacklevel=2)
-    return train(texts, known)
+    return model
 
 
 def predict(docs: DataFrame, model: dict[str, np.ndarray], *, text: str = "text") -> DataFrame:
@@ -356,7 +374,7 @@ def predict(docs: DataFrame, model: dict[str, np.ndarray], *, text: str = "text"
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = held.value
         for batch in batches:
-            parts = [np.round(scores(p, raw, offsets), 5) for _, _, raw, offsets in bytesview.text_chunks(batch.column(place), 1 << 20)]
+            parts = [np.round(scores(p, raw, offsets), 5) for _, _, raw, offsets in bytesview.text_chunks(batch.column(place), 1 << 19)]
             value = np.concatenate(parts) if parts else np.zeros(0)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(value), pa.array((value >= 0.5).astype(np.int32))], names=[*batch.schema.names, "score", "predicted"])
 

@@ -1,6 +1,7 @@
 """Language, personal data, toxicity, licences, HTML: results, and odd rows."""
 
 import hashlib
+import os
 import random
 import re
 import zlib
@@ -134,7 +135,7 @@ def make_texts(n, seed=5):
 @pytest.fixture(scope="module")
 def toxic_model():
     texts, labels = make_texts(240)
-    return toxicity.train(texts, labels, rounds=3, steps=30)
+    return toxicity.train(texts, labels, steps=120)
 
 
 def chunk(texts):
@@ -167,13 +168,15 @@ def test_gradients_match_differences():
     p = {k: v.astype(np.float64) for k, v in toxicity.initial(rng).items()}
     words = toxicity.Words(*chunk(["one two three " * 6, "four five"]))
     spots, _ = words.windows()
-    label, weight = np.array([1.0, 0.0]), np.ones(2)
+    spots = np.concatenate([spots, spots[:, ::-1]])
+    label, bag = np.array([1.0, 0.0]), np.array([0, 1, 0, 1])
 
     def loss(q):
         z = toxicity.window_logits(q, words, spots).astype(np.float64)
+        z = np.log([np.exp(z[bag == i]).sum() for i in range(2)])
         return float((np.log1p(np.exp(z)) - label * z).mean())
 
-    g = toxicity._gradients(p, words, spots, label, weight)
+    g = toxicity._gradients(p, words, spots, bag, label)
     for name in ("fx", "bh", "a", "av", "o", "word", "gram", "head4"):
         at = np.unravel_index(np.abs(g[name]).argmax(), g[name].shape)
         up, down = ({k: v.copy() for k, v in p.items()} for _ in range(2))
@@ -194,38 +197,66 @@ def test_toxicity_odd_rows(spark, toxic_model):
     assert toxicity.train(["a b"], [1])["prior"][0] == pytest.approx(0.75)
 
 
-def test_toxicity_sample_is_bounded(spark, monkeypatch):
+def test_toxicity_scores_match_a_plain_network(toxic_model):
+    p, sigmoid = {k: v.astype(np.float64) for k, v in toxic_model.items()}, lambda x: 1 / (1 + np.exp(-x))
+    texts = ["zvqual once more", "Four five six, é!", " ".join(f"w{i}" for i in range(70))]
+    for t, got in zip(texts, toxicity.scores(toxic_model, *chunk(texts)), strict=True):
+        words = toxicity.Words(*chunk([t]))
+        x = words.inputs(p)
+        best = -np.inf
+        for a in range(0, max(1, len(x) - toxicity.WIDTH + toxicity.STEP), toxicity.STEP):
+            part, states = x[a : a + toxicity.WIDTH], {}
+            for way, order in (("f", range(len(part))), ("b", range(len(part) - 1, -1, -1))):
+                h = np.zeros(toxicity.HIDDEN)
+                for i in order:
+                    z, r, n = np.split(part[i] @ p[way + "x"] + p[way + "c"], 3)
+                    uz, ur, un = np.split(h @ p[way + "h"], 3)
+                    z, r = sigmoid(z + uz), sigmoid(r + ur)
+                    h = (1 - z) * np.tanh(n + r * un) + z * h
+                    states[way, i] = h
+            both = np.array([np.concatenate([states["f", i], states["b", i]]) for i in range(len(part))])
+            e = np.exp(np.tanh(both @ p["a"] + p["ac"]) @ p["av"])
+            best = max(best, float((e / e.sum()) @ both @ p["o"] + p["oc"][0]))
+        assert got == pytest.approx(sigmoid(best), abs=1e-4)
+
+
+def test_toxicity_held_out(spark):
+    docs = queries.table(spark, f"{os.environ.get('TESTDATA', '/root/testdata')}/sf0.1", "documents").select("doc_id", "text")
+    labels = queries.table(spark, f"{os.environ.get('TESTDATA', '/root/testdata')}/sf0.1", "labels")
+    model = queries.toxicity_model(docs, labels)
+    asked = docs.join(labels.where(queries.held_out() & F.col("toxic").isNotNull()), "doc_id").select("text", "toxic").collect()
+    found = toxicity.scores(model, *chunk([r.text or "" for r in asked])) >= 0.5
+    toxic = np.array([r.toxic for r in asked]) == 1
+    assert found[toxic].mean() >= 0.9 and found[~toxic].mean() <= 0.02
+
+
+def test_toxicity_sample_is_bounded(spark):
     docs = spark.createDataFrame([(i, f"w{i} text") for i in range(50)] + [(None, "x"), (7, None)], "doc_id long, text string")
     labels = spark.createDataFrame([(i, i % 2) for i in range(50)] + [(None, 1), (3, None)], "doc_id long, toxic int")
-    seen = {}
-    monkeypatch.setattr(toxicity, "train", lambda t, y: seen.update(t=t, y=y) or {"prior": np.array([0.5])})
-    toxicity.fit(docs, labels, toxic=5, clean=7)
-    assert seen["y"].count(1) == 5 and seen["y"].count(0) == 7
-    toxicity.fit(docs, labels, size=30)
-    assert sum(map(len, seen["t"])) <= 30
+    got = [r.label for r in toxicity.sample(docs, labels, toxic=5, clean=7).collect()]
+    assert got.count(1) == 5 and got.count(0) == 7
+    assert sum(len(r.text) for r in toxicity.sample(docs, labels, size=30).collect()) <= 30
+    again = docs.where("doc_id < 3").union(docs.where("doc_id = 1"))
+    assert sorted((r.label, r.text) for r in toxicity.sample(again, labels).collect()) == [(0, "w0 text"), (0, "w2 text"), (1, "w1 text"), (1, "w1 text")]
 
 
-def test_toxicity_sample_outlives_long_rows(spark, monkeypatch):
+def test_toxicity_sample_outlives_long_rows(spark):
     order = sorted(range(40), key=lambda i: hashlib.md5(str(i).encode()).hexdigest())
     texts = {i: f"w{i} text" for i in order} | {order[0]: "é word " * 1_300_000, order[1]: "𝄞" * 8_193}
     docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(4)
     labels = spark.createDataFrame([(i, n % 4 == 0) for n, i in enumerate(order)], "doc_id long, toxic boolean")
-    seen = {}
-    monkeypatch.setattr(toxicity, "train", lambda t, y: seen.update(t=t, y=y) or {"prior": np.array([0.5])})
-    toxicity.fit(docs, labels)
-    assert len(seen["t"]) == 40 and sum(seen["y"]) == 10
-    long = [t for t in seen["t"] if len(t) > 100]
+    seen = sorted(tuple(r) for r in toxicity.sample(docs, labels).collect())
+    assert len(seen) == 40 and sum(r[1] for r in seen) == 10
+    long = [t for _, _, t in seen if len(t) > 100]
     slack = toxicity.PIECES - 1  # the spaces between passages
     assert len(long) == 2 and all(len(t.encode()) <= toxicity.ROW_BYTES + slack and len(t) == toxicity.PIECES * toxicity.PIECE + slack for t in long)
-    again = list(seen["t"])
-    toxicity.fit(docs, labels)
-    assert seen["t"] == again
+    assert seen == sorted(tuple(r) for r in toxicity.sample(docs, labels).collect())
+
     # The sum is by label: many clean bytes leave the few toxic rows in, and the whole stays within its bound.
-    toxicity.fit(docs.where(F.length("text") < 100), labels, size=200)
-    assert 0 < sum(seen["y"]) < 10 and sum(map(len, seen["t"])) <= 200
+    short = toxicity.sample(docs.where(F.length("text") < 100), labels, size=200).collect()
+    assert 0 < sum(r.label for r in short) < 10 and sum(len(r.text) for r in short) <= 200
     with pytest.warns(UserWarning, match="toxic = 1"):
         toxicity.fit(docs, labels.where("NOT toxic OR doc_id = %d" % order[0]), size=300)
-    assert set(seen["y"]) == {0}
 
 
 # ---- licences ------------------------------------------------------------------------------------
