@@ -126,11 +126,6 @@ def parts_for(numerator: int, denominator: int) -> Parts:
     return Parts(numerator, denominator)
 
 
-def _text_keys(text: str) -> list[Column]:
-    """128 bits that equal texts share, without leaving the JVM."""
-    return [F.xxhash64(F.lit(1), F.col(text)).alias("th1"), F.xxhash64(F.lit(2), F.lit("x"), F.col(text)).alias("th2")]
-
-
 def features(docs: DataFrame, key: str, text: str, k: int, numerator: int, denominator: int) -> DataFrame:
     """For each row: id, th1, th2 (of its text), n, key1, key2 (of its set), marks (of its parts, packed) and a uid; written."""
     kind = docs.schema[key].dataType
@@ -150,7 +145,7 @@ def features(docs: DataFrame, key: str, text: str, k: int, numerator: int, denom
     schema = T.StructType([T.StructField("id", kind)])
     for name, of in (("th1", T.LongType()), ("th2", T.LongType()), ("n", T.IntegerType()), ("key1", T.LongType()), ("key2", T.LongType()), ("marks", T.BinaryType())):
         schema = schema.add(name, of)
-    rows = docs.select(F.col(key).alias("id"), *_text_keys(text), F.col(text).alias("text")).mapInArrow(run, schema)
+    rows = docs.select(F.col(key).alias("id"), *store.text_keys(text), F.col(text).alias("text")).mapInArrow(run, schema)
     return store.materialise(rows.withColumn("uid", F.monotonically_increasing_id()), "shingles")
 
 
@@ -232,7 +227,7 @@ def sets_of(docs: DataFrame, text: str, k: int, wanted: DataFrame) -> DataFrame:
             found = [values for _, values in shingle_sets(batch.column(1), k)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(v) for v in found], pa.int32()), pa.array([v.tobytes() for v in found], pa.binary())], names=["uid", "n", "body"])
 
-    texts = docs.select(*_text_keys(text), F.col(text).alias("text")).mapInArrow(chosen, "th1 long, th2 long, text string")
+    texts = docs.select(*store.text_keys(text), F.col(text).alias("text")).mapInArrow(chosen, "th1 long, th2 long, text string")
     once = texts.groupBy("th1", "th2").agg(F.first("text").alias("text"))
     out = store.materialise(once.join(wanted, ["th1", "th2"]).select("uid", "text").mapInArrow(cut, "uid long, n int, body binary"), "sets")
     held.destroy()

@@ -73,34 +73,41 @@ def mix(
     Sorting by place gives the mix. No row is dropped or repeated: when a source has run out its slots
     stay empty and the others go on in their own slots. weights: quotas by source, 1 for those not named.
 
-    A null source is a source of its own; null keys order as an empty text; repeated rows each get a
-    place; an empty table gives an empty table.
+    A null source is a source of its own; null keys order as an empty text; rows with one key go by a hash of
+    the whole row; repeated rows each get a place; an empty table gives an empty table. Other columns may
+    have any names.
     """
     made = ("quota", "block", "release", "deadline", "slot", "place")
     kept = docs.drop(*made)
-    rows = kept.withColumn("_hash", F.md5(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary"))).withColumn("_bucket", F.substring("_hash", 1, SPREAD_DIGITS))
-    sizes = rows.groupBy(F.col(source).alias("_source"), "_bucket").agg(F.count("*").alias("_n"))
-    before = Window.partitionBy("_source").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)  # 4096 rows at most
-    starts = sizes.select(F.col("_source").alias("_s"), F.col("_bucket").alias("_b"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first"))
-    own = Window.partitionBy(source, "_bucket").orderBy("_hash", key)
-    rows = rows.withColumn("_at", F.row_number().over(own).cast("long") - 1)
-    rows = rows.join(starts, F.col(source).eqNullSafe(F.col("_s")) & (F.col("_bucket") == F.col("_b"))).withColumn("_rank", F.col("_first") + F.col("_at"))
-    rows = rows.withColumn("block", F.expr(f"_rank div {int(block_rows)}"))
+    # The row stays whole in one column, so no name of its own can clash. Window and join share one dealing of the rows.
+    named = F.concat(F.lit("="), F.col(source).cast("string"))
+    rows = kept.select(F.struct(*[F.col(c) for c in kept.columns]).alias("row"), F.col(source).alias("source"), F.coalesce(named, F.lit("")).alias("s"), F.col(key).alias("key"), F.md5(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")).alias("hash"), F.xxhash64(*[F.col(c) for c in kept.columns]).alias("tie"))
+    rows = rows.withColumn("bucket", F.substring("hash", 1, SPREAD_DIGITS))
+    sizes = rows.groupBy("s", "bucket").agg(F.count("*").alias("n"))
+    before = Window.partitionBy("s").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)  # 4096 rows at most
+    starts = sizes.select("s", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
+    own = Window.partitionBy("s", "bucket").orderBy("hash", "key", "tie")
+    rows = rows.withColumn("at", F.row_number().over(own).cast("long") - 1)
+    rows = rows.join(starts, ["s", "bucket"]).withColumn("rank", F.col("first") + F.col("at"))
+    rows = rows.withColumn("block", F.expr(f"rank div {int(block_rows)}"))
 
     # One row for each slot of a period: its size is set by the parameter and the number of sources.
-    times = timetable(quotas(docs, weights, period, source)).withColumnRenamed("source", "_of")
-    per_source = times.groupBy("_of").agg(F.first("quota").alias("quota"), F.first("period").alias("_period"), F.array_sort(F.collect_list("pick")).alias("_picks"))
-    rows = rows.join(F.broadcast(per_source), F.col(source).eqNullSafe(F.col("_of")))
+    times = timetable(quotas(docs, weights, period, source)).withColumnRenamed("source", "of")
+    per_source = times.groupBy("of").agg(F.first("quota").alias("quota"), F.first("period").alias("period"), F.array_sort(F.collect_list("pick")).alias("picks"))
+    rows = rows.join(F.broadcast(per_source), F.col("source").eqNullSafe(F.col("of")))
     rows = rows.withColumns(
         {
-            "release": F.expr("block * _period div quota"),
-            "deadline": F.expr("((block + 1) * _period + quota - 1) div quota"),
-            "slot": F.expr("(block div quota) * _period + element_at(_picks, cast(block % quota as int) + 1)"),
+            "release": F.expr("block * period div quota"),
+            "deadline": F.expr("((block + 1) * period + quota - 1) div quota"),
+            "slot": F.expr("(block div quota) * period + element_at(picks, cast(block % quota as int) + 1)"),
         }
-    ).withColumn("place", F.expr(f"slot * {int(block_rows)} + _rank % {int(block_rows)}"))
-    return rows.select(*kept.columns, *made)
+    ).withColumn("place", F.expr(f"slot * {int(block_rows)} + rank % {int(block_rows)}"))
+    return rows.select("row.*", *made)
 
 
 def in_order(mixed: DataFrame) -> DataFrame:
-    """The rows dealt out by ranges of their place and sorted within them: files in the order of the mix."""
+    """The rows dealt out by ranges of their place and sorted within them: files in the order of the mix.
+
+    Places differ, so there are no ties; an empty table stays empty; all columns are kept as they are.
+    """
     return mixed.repartitionByRange("place").sortWithinPartitions("place")

@@ -11,7 +11,8 @@ import atexit
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _local: dict[str, str] = {}
 
@@ -64,3 +65,8 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     finally:
         spark.conf.set(BATCH_SETTING, before)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def text_keys(text: str) -> list[Column]:
+    """th1 and th2: 128 bits that equal texts share (null ones too), without leaving the JVM."""
+    return [F.xxhash64(F.lit(1), F.col(text)).alias("th1"), F.xxhash64(F.lit(2), F.lit("x"), F.col(text)).alias("th2")]

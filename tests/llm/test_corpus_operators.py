@@ -144,6 +144,21 @@ def test_links_match_brute_force(spark, seed):
     assert [got[i].component_id for i in range(len(texts))] == component
 
 
+@pytest.mark.parametrize("k,num", [(5, 80), (2, 60)])
+def test_links_match_brute_force_at_other_settings(spark, k, num):
+    rng = random.Random(3)
+    base = [f"w{rng.randrange(500)}" for _ in range(120)]
+    texts = []
+    for n in range(150):  # many near copies of one text, at all distances
+        own = list(base)
+        for _ in range(rng.randrange(0, 14)):
+            own[rng.randrange(len(own))] = f"e{n}x{rng.randrange(99)}"
+        texts.append(" ".join(own[: rng.choice([120, 120, 100, 60])]))
+    _, component = by_force(texts, k, num)
+    got = {r.id: r.component_id for r in jaccard.near_duplicates(frame(spark, texts), shingle=k, numerator=num).collect()}
+    assert [got[i] for i in range(len(texts))] == component
+
+
 def test_threshold_is_exact(spark):
     # 17 of 20 shingles are 85 of 100 exactly; 17 of 21 are not.
     base = [f"a{i}" for i in range(23)]
@@ -156,6 +171,8 @@ def test_threshold_is_exact(spark):
 def test_near_duplicates_odd_rows(spark):
     docs = spark.createDataFrame([(None, "a b c d e"), (4, "a b c d e"), (4, "a b c d e"), (None, "lone words only here"), (9, "z " * 100_000)], "doc_id long, text string").withColumn("n", F.lit(1)).withColumn("id", F.lit("x"))
     got = Counter((r.id, r.n_shingles, r.component_id) for r in jaccard.near_duplicates(docs).collect())
+    named = docs.withColumn("doc_id", F.concat(F.lit("k"), F.col("doc_id").cast("string")))
+    assert Counter((r.id, r.component_id) for r in jaccard.near_duplicates(named).collect()) == Counter({(None, "k4"): 1, ("k4", "k4"): 2, (None, None): 1, ("k9", "k9"): 1})
     assert got == Counter({(None, 2, 4): 1, (4, 2, 4): 2, (None, 1, None): 1, (9, 1, 9): 1})
     assert jaccard.near_duplicates(docs.where("false")).count() == 0
     assert jaccard.near_duplicates(docs.where("doc_id = 9")).count() == 1
@@ -224,6 +241,13 @@ def test_decontamination_odd_rows(spark):
     bench = spark.createDataFrame([("i", "a b")], "item_id string, text string")
     assert Counter((r.doc_id, r.n_hit) for r in decontaminate.report(decontaminate.find(docs, bench)).collect()) == Counter({(None, 2): 1, (3, 2): 2})
     assert {r.n_hit for r in decontaminate.report(decontaminate.find(docs, bench.where("false"))).collect()} == {0}
+    named = docs.select(F.coalesce(F.col("doc_id").cast("string"), F.lit("none")).alias("doc_id"), "text", F.lit(0).alias("runs"))
+    unnamed = spark.createDataFrame([(None, "a b"), ("j", "b")], "item_id string, text string")
+    assert {(r.doc_id, tuple(r["items"])) for r in decontaminate.find(named, unnamed).collect()} == {("none", ("", "j")), ("3", ("", "j"))}
+    low = spark.createDataFrame([(-(1 << 63), "a b")], "doc_id long, text string")
+    assert decontaminate.find(low, bench).first().doc_id == -(1 << 63)
+    index = decontaminate.build_index(docs)
+    assert [{r.n_hit for r in decontaminate.report(decontaminate.search_index(index, b)).collect()} for b in (bench, bench.select("item_id", F.lit("z").alias("text")))] == [{2}, {0}]
     assert decontaminate.find(docs.where("false"), bench).count() == 0
 
 
@@ -344,6 +368,20 @@ def test_pipeline_stages_take_odd_rows(spark, small):
     assert cp.mix_sources(spark, docs, small).count() == 5 and cp.cut_shards(spark, docs, small).count() == 5
 
 
+def test_pipeline_decides_by_row(spark, small):
+    import corpus_pipeline as cp
+
+    words = lambda p: " ".join(f"{p}{i}" for i in range(60))
+    a, b, c, x = (words(p) for p in "abcx")
+    rows = [(5, a), (5, b), (1, x), (7, x), (7, c), (None, x), (None, c + " and"), (5, a), (None, None), (None, None)]
+    docs = spark.createDataFrame([(i, t, "en", f"s{n}", n) for n, (i, t) in enumerate(rows)], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    left = Counter((r.doc_id, r.text) for r in cp.drop_near_duplicates(spark, docs, small).collect())
+    assert left == Counter({(5, a): 1, (5, b): 1, (1, x): 1, (7, c): 1, (None, None): 2})
+    item = queries.table(spark, small, "benchmark").orderBy(F.length("text").desc()).first().text
+    docs = spark.createDataFrame([(3, item, "en", "s", 1), (3, a, "en", "s", 2), (None, item, "en", "s", 3), (None, b, "en", "s", 4)], docs.schema)
+    assert Counter((r.doc_id, r.text) for r in cp.drop_contaminated(spark, docs, small).collect()) == Counter({(3, a): 1, (None, b): 1})
+
+
 
 
 def test_pipeline_near_duplicates_from_four_fifths(spark, small):
