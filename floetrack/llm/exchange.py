@@ -12,6 +12,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 #: Entries of a bucket, about.
 BUCKET = 500_000
@@ -36,51 +37,67 @@ def buckets_for(entries: int) -> int:
     return max(1, -(-int(entries) // BUCKET))
 
 
-def deal(rows: DataFrame, buckets: int, kinds: list[type], send: Callable[[pa.RecordBatch], Sent], settle: Callable[..., Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+def deal(rows: DataFrame, buckets: int, kinds: list[type], send: Callable[[pa.RecordBatch], Sent], settle: Callable[..., Iterator], schema: str, then: tuple[int, list[type], Callable[..., Iterator]] | None = None) -> DataFrame:
     """``settle(hashes, settled columns, other columns)`` over each bucket of what ``send`` makes of each batch.
 
-    ``kinds`` are the numpy types of the columns. An empty table gives an empty table; nothing is kept in
-    order, and equal entries stay as many as they are.
+    ``kinds`` are the numpy types of the columns. With ``then`` (buckets, kinds, settle) what the first ``settle``
+    yields is sent once more, and the second makes the result. An empty table gives an empty table; nothing
+    is kept in order, and equal entries stay as many as they are.
     """
 
     def outward(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        turn = 0
         for batch in batches:
-            to, sure, at, data = [], [], [], []
-            for hashes, columns in send(batch):
-                if hashes is None:
-                    if len(columns[0]):
-                        turn += 1
-                        to.append((turn * 7919 + int(columns[0][0])) % buckets)
-                        sure.append(True)
-                        at.append(b"")
-                        data.append(_bytes(columns))
-                    continue
-                bucket = ((hashes >> np.uint64(16)) * np.uint64(buckets)) >> np.uint64(32)
-                edges = np.flatnonzero(np.diff(bucket.astype(np.int64), prepend=-1))
-                for s, e in zip(edges, [*edges[1:], len(hashes)], strict=True):
-                    to.append(int(bucket[s]))
-                    sure.append(False)
-                    at.append(np.ascontiguousarray(hashes[s:e].view(np.uint8).reshape(-1, 8)[:, :6]).tobytes())
-                    data.append(_bytes([c[s:e] for c in columns]))
-            yield pa.RecordBatch.from_arrays([pa.array(to, pa.int32()), pa.array(sure, pa.bool_()), pa.array(at, pa.binary()), pa.array(data, pa.binary())], names=["bucket", "sure", "at", "data"])
-
-    def inward(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            yield _packed(send(batch), buckets)
+
+    def again(*bucket) -> Iterator[pa.RecordBatch]:
+        yield _packed(settle(*bucket), then[0])
+
+    out = rows.mapInArrow(outward, PACKED).repartitionById(buckets, F.col("bucket"))
+    if then is not None:
+        out = out.mapInArrow(_inward(kinds, again), PACKED).repartitionById(then[0], F.col("bucket"))
+    return out.mapInArrow(_inward(*((kinds, settle) if then is None else then[1:])), schema)
+
+
+PACKED = "bucket int, sure boolean, at binary, data binary"
+
+
+def _packed(sent: Sent, buckets: int) -> pa.RecordBatch:
+    """What a batch sends, a row for each bucket and kind."""
+    to, sure, at, data = [], [], [], []
+    for hashes, columns in sent:
+        if hashes is None:
+            if len(columns[0]):
+                to.append(int(columns[0][0]) * 7919 % buckets)  # any bucket will do
+                sure.append(True)
+                at.append(b"")
+                data.append(_bytes(columns))
+            continue
+        bucket = ((hashes >> np.uint64(16)) * np.uint64(buckets)) >> np.uint64(32)
+        edges = np.flatnonzero(np.diff(bucket.astype(np.int64), prepend=-1))
+        for s, e in zip(edges, [*edges[1:], len(hashes)], strict=True):
+            to.append(int(bucket[s]))
+            sure.append(False)
+            at.append(np.ascontiguousarray(hashes[s:e].view(np.uint8).reshape(-1, 8)[:, :6]).tobytes())
+            data.append(_bytes([c[s:e] for c in columns]))
+    return pa.RecordBatch.from_arrays([pa.array(to, pa.int32()), pa.array(sure, pa.bool_()), pa.array(at, pa.binary()), pa.array(data, pa.binary())], names=["bucket", "sure", "at", "data"])
+
+
+def _inward(kinds: list[type], settle: Callable[..., Iterator]) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, tuple[list, list, list]] = {}
         for batch in batches:
             for bucket, sure, at, data in zip(*(batch.column(i) for i in range(4)), strict=True):
                 known, hashes, other = held.setdefault(bucket.as_py(), ([], [], []))
-                raw = data.as_py()
                 if sure.as_py():
-                    known.append(_columns(raw, kinds))
+                    known.append(data.as_py())
                 else:
-                    hashes.append(unpack(at.as_py()))
-                    other.append(_columns(raw, kinds))
+                    hashes.append(at.as_py())
+                    other.append(data.as_py())
         while held:
             _, (known, hashes, other) = held.popitem()
-            yield from settle(np.concatenate([np.zeros(0, np.uint64), *hashes]), _joined(known, kinds), _joined(other, kinds))
+            yield from settle(unpack(b"".join(hashes)), _joined(known, kinds), _joined(other, kinds))
 
-    return rows.mapInArrow(outward, "bucket int, sure boolean, at binary, data binary").repartition(buckets, "bucket").mapInArrow(inward, schema)
+    return run
 
 
 def _bytes(columns: list[np.ndarray]) -> bytes:
@@ -98,8 +115,9 @@ def _columns(raw: bytes, kinds: list[type]) -> list[np.ndarray]:
     return out
 
 
-def _joined(parts: list[list[np.ndarray]], kinds: list[type]) -> list[np.ndarray]:
-    return [np.concatenate([np.zeros(0, kind), *(p[i] for p in parts)]) for i, kind in enumerate(kinds)]
+def _joined(parts: list[bytes], kinds: list[type]) -> list[np.ndarray]:
+    columns = [_columns(raw, kinds) for raw in parts]
+    return [np.concatenate([np.zeros(0, kind), *(p[i] for p in columns)]) for i, kind in enumerate(kinds)]
 
 
 def repeated(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -236,7 +236,7 @@ def sets_of(docs: DataFrame, text: str, k: int, wanted: DataFrame) -> DataFrame:
 
 def counters(sets: DataFrame) -> np.ndarray:
     """How many shingles of all sets fall on each of COUNTERS hashes; summed by tasks, then by part."""
-    parts, width = 16, COUNTERS // 16
+    parts, width = 64, COUNTERS // 64
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(COUNTERS, np.int64)
@@ -244,13 +244,13 @@ def counters(sets: DataFrame) -> np.ndarray:
             lists = [np.frombuffer(b.as_buffer(), np.uint64) for b in batch.column(0)]
             for a, b in _runs([len(x) for x in lists]):
                 total += np.bincount((np.concatenate(lists[a:b]) >> np.uint64(46)).astype(np.int64), minlength=COUNTERS)
-        yield pa.RecordBatch.from_arrays([pa.array(range(parts), pa.int32()), pa.array([x.tobytes() for x in total.reshape(parts, width)], pa.binary())], names=["part", "counts"])
+        yield pa.RecordBatch.from_arrays([pa.array(range(parts), pa.int32()), pa.array([x.astype(np.uint32).tobytes() for x in total.reshape(parts, width)], pa.binary())], names=["part", "counts"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, np.ndarray] = {}
         for batch in batches:
             for part, counts in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                held[part] = held.get(part, 0) + np.frombuffer(counts.as_buffer(), np.int64)
+                held[part] = held.get(part, 0) + np.frombuffer(counts.as_buffer(), np.uint32).astype(np.int64)
         yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array([x.tobytes() for x in held.values()], pa.binary())], names=["part", "counts"])
 
     got = sets.select("body").mapInArrow(count, "part int, counts binary").repartition(parts, "part").mapInArrow(add, "part int, counts binary").toArrow()
@@ -290,24 +290,37 @@ def entries(sets: DataFrame, numerator: int, denominator: int) -> DataFrame:
             many, lead = exchange.repeated(short)
             yield None, [uid[a:b][owner[many]], short[many], place[many], np.ones(int(many.sum()), np.uint8)]
             # One entry of each shingle meets the other batches'; it says whether it has been counted already.
-            yield short[lead], [uid[a:b][owner[lead]], short[lead], place[lead], many[lead].astype(np.uint8)]
+            yield short[lead], [uid[a:b][owner[lead]], np.zeros(int(lead.sum()), np.uint64), place[lead], many[lead].astype(np.uint8)]
 
-    def settle(hashes: np.ndarray, known: list[np.ndarray], other: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    def settle(hashes: np.ndarray, known: list[np.ndarray], other: list[np.ndarray]) -> exchange.Sent:
         order = np.argsort(hashes, kind="stable")
         many = order[exchange.repeated(hashes[order])[0]]
         many = many[other[3][many] == 0]
-        uid, s, place = (np.concatenate([k, o[many]]) for k, o in zip(known[:3], other[:3], strict=True))
+        uid, s, place = np.concatenate([known[0], other[0][many]]), np.concatenate([known[1], hashes[many]]), np.concatenate([known[2], other[2][many]])
+        # For each set the number found here, and those that can be wanted.
+        own, count = np.unique(uid, return_counts=True)
+        first = place != late
+        uid, s, place = np.concatenate([own, uid[first]]), np.concatenate([np.zeros(len(own), np.uint64), s[first]]), np.concatenate([np.full(len(own), late), place[first]])
+        count = np.concatenate([count, np.zeros(int(first.sum()), np.int64)]).astype(np.uint32)
+        to = bytesview.mix(uid.view(np.uint64)) >> np.uint64(16)
+        order = np.argsort(to, kind="stable")
+        yield to[order], [uid[order], s[order], place[order], count[order]]
+
+    def gather(hashes: np.ndarray, known: list[np.ndarray], other: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        uid, s, place, count = other
         order = np.argsort(uid, kind="stable")
-        uid, s, place = uid[order], s[order], place[order]
+        uid, s, place, count = uid[order], s[order], place[order], count[order]
         start = np.flatnonzero(np.append(True, uid[1:] != uid[:-1])) if len(uid) else np.zeros(0, np.int64)
-        count = np.diff(np.append(start, len(uid)))
         first = place != late
         ends = np.append(0, np.cumsum(first))[np.append(start, len(uid))]
         lists = [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(x[first].astype(np.int64))) for x in (place, s)]
-        yield pa.RecordBatch.from_arrays([pa.array(uid[start]), pa.array(count), *lists], names=["uid", "shared", "place", "s"])
+        shared = np.add.reduceat(count.astype(np.int64), start) if len(start) else np.zeros(0, np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(uid[start]), pa.array(shared), *lists], names=["uid", "shared", "place", "s"])
 
-    found = exchange.deal(sets.select("uid", "body"), exchange.buckets_for(total), [np.int64, np.uint64, np.uint32, np.uint8], send, settle, "uid long, shared long, place array<long>, s array<long>")
-    whole = found.groupBy("uid").agg(F.sum("shared").alias("shared"), F.flatten(F.collect_list(F.arrays_zip("place", "s"))).alias("some"))
+    buckets = exchange.buckets_for(total)
+    then = (buckets, [np.int64, np.uint64, np.uint32, np.uint32], gather)
+    whole = exchange.deal(sets.select("uid", "body"), buckets, [np.int64, np.uint64, np.uint32, np.uint8], send, settle, "uid long, shared long, place array<long>, s array<long>", then)
+    whole = whole.select("uid", "shared", F.arrays_zip("place", "s").alias("some"))
     size = F.expr(f"n - ({numerator} * n + {denominator - 1}) div {denominator} + 1")
     firsts = whole.join(sets.select("uid", F.col("n").cast("long").alias("n")), "uid").withColumns({"own": F.col("n") - F.col("shared"), "size": size}).where("own < size")
     firsts = firsts.withColumn("some", F.slice(F.array_sort("some"), F.lit(1), F.greatest(F.col("size") - F.col("own"), F.lit(0)).cast("int")))
@@ -457,6 +470,12 @@ def near_duplicates(
     th1 and th2 identify a row's text. ``kept`` marks the rows of one id and text in each component, the least
     (rows with an id first), and every row without words; ``repeats`` counts the rows with that id and text.
     """
+    with store.scratch(docs.sparkSession):
+        found = _near_duplicates(docs, key, text, shingle, numerator, denominator)
+        return store.materialise(found, "near-duplicates", keep=True)
+
+
+def _near_duplicates(docs: DataFrame, key: str, text: str, shingle: int, numerator: int, denominator: int) -> DataFrame:
     rows = features(docs, key, text, shingle, numerator, denominator)
     facts = rows.where("n > 0").select("uid", "id", "th1", "th2", "n", "key1", "key2")
     some = facts.join(not_alone(rows).withColumn("met", F.lit(1)), "uid", "left")

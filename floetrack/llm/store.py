@@ -8,8 +8,10 @@ folder stands in for it.
 from __future__ import annotations
 
 import atexit
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -54,10 +56,31 @@ def drop(spark: SparkSession, path: str) -> None:
 BATCH_SETTING, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "4m"
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written once as Parquet in the shared folder and read back; any rows, an empty table too."""
+_scratch: list[list[str]] = []
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Deletes, at its end, the tables that ``materialise`` has written within it, but for those to be kept."""
+    _scratch.append([])
+    try:
+        yield
+    finally:
+        for path in _scratch.pop():
+            drop(spark, path)
+
+
+def materialise(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
+    """``df`` written once as Parquet in the shared folder and read back; any rows, an empty table too.
+
+    Within ``scratch`` it goes at the end of that; with ``keep`` at the end of the one around it, if any, or
+    when the driver ends.
+    """
     spark = df.sparkSession
     path = new_folder(spark, name)
+    owners = _scratch[:-1] if keep else _scratch
+    if owners:
+        owners[-1].append(path)
     before = spark.conf.get(BATCH_SETTING)
     spark.conf.set(BATCH_SETTING, BATCH_BYTES)
     try:
