@@ -112,21 +112,22 @@ def shard(
     without gaps, in the order of the curve; within a cell, rows with equal texts lie together.
 
     Null or empty texts have size 1 and checksum 0; null metadata has coordinate 0; rows repeated with
-    all their columns, null keys included, each get a slot of their own; an empty table gives an empty table.
+    all their columns, null keys included, each get a slot of their own; rows with one key go by a hash of
+    the whole row. An empty table gives an empty table. Other columns may have any names.
     """
     if law not in ("rows", "bytes"):
         raise ValueError(f"no such law: {law}")
     data = F.coalesce(F.col(text).cast("binary"), F.lit(b""))
     made = ("size", "text_crc32", "cell", "law", "shard", "slot")
-    kept = docs.drop(*made)
-    rows = kept.select("*", F.octet_length(data).cast("long").alias("_n"), F.crc32(data).cast("long").alias("text_crc32"))
-    rows = rows.withColumn("size", F.col("_n") + 1).drop("_n")
-    spots = [quantised(F.col("size") if name == "size" else F.col(name), kind, bits) for name, kind in dimensions]
-    rows = rows.withColumn("cell", hilbert_index(spots, bits))
-    rows = rows.withColumn("_g", F.pmod(F.col("text_crc32"), F.lit(GROUPS))).withColumn("_d", F.pmod(F.xxhash64(F.col(key)), F.lit(SPREAD)))
+    kept = docs.drop(*made, *([] if keep_text else [text]))
+    # The row stays whole in one column, so no name of its own can clash.
+    size = (F.octet_length(data) + 1).cast("long")
+    spots = [quantised(size if name == "size" else F.col(name), kind, bits) for name, kind in dimensions]
+    own = [F.col(c) for c in kept.columns]
+    rows = docs.select(F.struct(*own).alias("row"), size.alias("size"), F.crc32(data).cast("long").alias("text_crc32"), hilbert_index(spots, bits).alias("cell"), F.col(key).alias("key"), F.xxhash64(*own).alias("tie"))
+    rows = rows.withColumn("_g", F.pmod(F.col("text_crc32"), F.lit(GROUPS))).withColumn("_d", F.pmod(F.xxhash64("key", "tie"), F.lit(SPREAD)))
     if not keep_text:
-        kept = kept.drop(text)
-        rows = store.materialise(rows.drop(text), "shard-rows")
+        rows = store.materialise(rows, "shard-rows")
     parts = ["cell", "_g", "_d"]
 
     counts = rows.groupBy(*parts).agg(F.count("*").alias("_rows"), F.sum("size").alias("_bytes"))
@@ -148,7 +149,7 @@ def shard(
         "_n",
         "_size",
     )
-    own = Window.partitionBy(*parts).orderBy("text_crc32", key)
+    own = Window.partitionBy(*parts).orderBy("text_crc32", "key", "tie")
     rows = rows.withColumn("_at", F.row_number().over(own).cast("long"))
     if law == "bytes":
         rows = rows.withColumn("_before", F.sum("size").over(own.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size"))
@@ -164,4 +165,4 @@ def shard(
         rows = rows.withColumn("_rank", rank).withColumn("shard", number.cast("int"))
         firsts = rows.groupBy("shard").agg(F.min("_rank").alias("_first"))  # n_shards rows
         rows = rows.join(F.broadcast(firsts), "shard").withColumn("slot", F.col("_rank") - F.col("_first"))
-    return rows.withColumn("law", F.lit(law)).select(*kept.columns, *made)
+    return rows.withColumn("law", F.lit(law)).select("row.*", *made)

@@ -53,6 +53,14 @@ def test_shards(spark, law, keep):
     assert hilbert.shard(docs.where("false"), dimensions=queries.DIMENSIONS, law=law).count() == 0
 
 
+def test_columns_of_any_name(spark):
+    names = ("_n", "_g", "_d", "_at", "_s", "_first", "_period", "_picks", "_of", "_hash", "_rank", "_size", "_rows0", "s", "row", "key", "tie", "at", "first", "bucket", "hash", "rank", "period", "of", "picks", "uid", "th1", "n")
+    docs = frame(spark, ["a b", None, "a b"]).select("*", *[F.lit(f"own {n}").alias(n) for n in names])
+    for got in (hilbert.shard(docs, dimensions=queries.DIMENSIONS), mixing.mix(docs)):
+        rows = got.collect()
+        assert len(rows) == 3 and all(r[n] == f"own {n}" for r in rows for n in names)
+
+
 def test_curve_prunes(spark, small):
     got = queries.op4_hilbert_shards(spark, small).join(queries.table(spark, small, "documents").select("doc_id", "lang"), "doc_id").toPandas()
     # A language's documents lie in part of the shards, as runs of the curve hold neighbouring cells.
