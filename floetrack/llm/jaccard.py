@@ -172,13 +172,19 @@ def not_alone(rows: DataFrame) -> DataFrame:
         yield None, [uid[np.unique(owner[many])]]
         yield hashes[lead], [uid[owner[lead]]]
 
-    def settle(hashes: np.ndarray, known: list[np.ndarray], other: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    def settle(hashes: np.ndarray, known: list[np.ndarray], other: list[np.ndarray]) -> exchange.Sent:
         order = np.argsort(hashes, kind="stable")
         many, _ = exchange.repeated(hashes[order])
-        yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.concatenate([known[0], other[0][order][many]])))], names=["uid"])
+        uid = np.unique(np.concatenate([known[0], other[0][order][many]]))
+        to = bytesview.mix(uid.view(np.uint64)) >> np.uint64(16)
+        order = np.argsort(to, kind="stable")
+        yield to[order], [uid[order]]
+
+    def gather(hashes: np.ndarray, known: list[np.ndarray], other: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        yield pa.RecordBatch.from_arrays([pa.array(np.unique(other[0]))], names=["uid"])
 
-    dealt = exchange.deal(rows.where("octet_length(marks) > 0").select("uid", "key1", "marks"), exchange.buckets_for(total // 6), [np.int64], send, settle, "uid long")
-    return dealt.distinct()
+    buckets = exchange.buckets_for(total // 6)
+    return exchange.deal(rows.where("octet_length(marks) > 0").select("uid", "key1", "marks"), buckets, [np.int64], send, settle, "uid long", (max(1, buckets // 8), [np.int64], gather))
 
 
 def bit_table(values: DataFrame, column: str) -> np.ndarray:
