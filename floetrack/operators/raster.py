@@ -13,6 +13,7 @@ import pyarrow as pa
 from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 HALF, REACH, OFFSETS, GOOD = 16, 16, (0.0, -15.0, 15.0, -30.0, 30.0), 0.65
 PATCH, BYTES, SMOOTH = 31, 32, 5
@@ -20,8 +21,8 @@ PATCH, BYTES, SMOOTH = 31, 32, 5
 
 # ---- preprocessing -------------------------------------------------------------------------------
 def mean_filter2(img: np.ndarray) -> np.ndarray:
-    """The mean of each pixel and its neighbours above and to the left, edges repeated."""
-    p = np.pad(img.astype(np.float64), ((1, 0), (1, 0)), mode="symmetric")
+    """The mean of each pixel and its neighbours below and to the right, edges repeated."""
+    p = np.pad(img.astype(np.float64), ((0, 1), (0, 1)), mode="symmetric")
     return (p[1:, 1:] + p[:-1, 1:] + p[1:, :-1] + p[:-1, :-1]) / 4
 
 
@@ -85,6 +86,7 @@ class CornerModel:
 
     def __init__(self, n_features: int = 100, edge: int = 15, seed: int = 0):
         self.n_features, self.edge = n_features, edge
+        self._last: tuple[np.ndarray, np.ndarray] | None = None
         rng = np.random.default_rng(seed)
         self.tests = np.clip(rng.normal(0, PATCH / 5, (BYTES * 8, 4)), -(PATCH // 2), PATCH // 2)
 
@@ -103,12 +105,21 @@ class CornerModel:
         order = np.lexsort((cols, rows, -r[rows, cols]))[: self.n_features]
         return np.column_stack([cols[order], rows[order], r[rows[order], cols[order]]])
 
+    def _smoothed(self, img: np.ndarray) -> np.ndarray:
+        """The image smoothed, once for all batches that ask for the same one."""
+        if self._last is None or self._last[0] is not img:
+            self._last = (img, gaussian(img, SMOOTH / 2.5))
+        return self._last[1]
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"_last": None}  # tasks smooth for themselves
+
     def compute(self, img: np.ndarray, places: np.ndarray, angle: float) -> tuple[np.ndarray, np.ndarray]:
         h, w = img.shape
         margin = int(PATCH * 0.75) + 1
         col, row = places[:, 0], places[:, 1]
         ok = (col >= margin) & (col < w - margin) & (row >= margin) & (row < h - margin)
-        smooth = gaussian(img, SMOOTH / 2.5)
+        smooth = self._smoothed(img)
         t = np.radians(angle)
         turn = np.array([[np.cos(t), -np.sin(t)], [np.sin(t), np.cos(t)]])
         p, q = self.tests[:, :2] @ turn.T, self.tests[:, 2:] @ turn.T
@@ -156,8 +167,8 @@ def correlate(search: np.ndarray, template: np.ndarray, mask: np.ndarray | None
     return np.where(norm > 1e-9, cross / np.where(norm > 1e-9, norm, 1), 0.0)
 
 
-def search(img: np.ndarray, template: np.ndarray, col: float, row: float, turn: float, half: int = HALF, reach: int = REACH) -> tuple[float, float, float]:
-    """(col, row, correlation) of a template near a place: offsets in turn until one is good enough; (col, row, 0) if it cannot be.
+def search(img: np.ndarray, template: np.ndarray, col: float, row: float, turn: float, half: int = HALF, reach: int = REACH) -> tuple[float, float, float, float]:
+    """(col, row, correlation, offset) of a template near a place: offsets in turn until one is good enough; (col, row, 0, 0) if it cannot be.
 
     At offset 0 the template stays as it is; at others it is turned by ``turn`` and the offset, and only
     its set pixels count. The best so far wins, the earliest on ties.
@@ -165,8 +176,8 @@ def search(img: np.ndarray, template: np.ndarray, col: float, row: float, turn:
     size = 2 * half + 1
     area = cut(img, int(col), int(row), half + reach)
     if area is None or template.shape != (size, size):
-        return col, row, 0.0
-    best, shift = -1.0, (0, 0)
+        return col, row, 0.0, 0.0
+    best, shift, turned = -1.0, (0, 0), 0.0
     for offset in OFFSETS:
         if best >= GOOD:
             break
@@ -177,8 +188,8 @@ def search(img: np.ndarray, template: np.ndarray, col: float, row: float, turn:
             r = correlate(area, t, t > 0)
         at = np.unravel_index(np.argmax(r), r.shape)
         if r[at] > best:
-            best, shift = float(r[at]), (int(at[1]) - reach, int(at[0]) - reach)
-    return col + shift[0], row + shift[1], best
+            best, shift, turned = float(r[at]), (int(at[1]) - reach, int(at[0]) - reach), offset
+    return col + shift[0], row + shift[1], best, turned
 
 
 # ---- operators -------------------------------------------------------------------------------------
@@ -239,7 +250,7 @@ def extract_templates(points: DataFrame, img: np.ndarray, half: int = HALF) -> D
 
 
 def match_templates(points: DataFrame, img: np.ndarray, angle: float, half: int = HALF, reach: int = REACH) -> DataFrame:
-    """Points (col, row, angle, pixels, ...) with new_col, new_row and corr."""
+    """Points (col, row, angle, pixels, ...) with new_col, new_row, corr and rotation (the offset that won, degrees)."""
     held = points.sparkSession.sparkContext.broadcast(img)
 
     def fn(batch):
@@ -248,9 +259,9 @@ def match_templates(points: DataFrame, img: np.ndarray, angle: float, half: int
             search(held.value, np.frombuffer(p, np.uint8).reshape(size, size), c, r, a - angle, half, reach)
             for c, r, a, p in zip(_column(batch, "col"), _column(batch, "row"), _column(batch, "angle"), batch.column(batch.schema.names.index("pixels")).to_pylist(), strict=True)
         ]
-        return [True] * len(out), [pa.array([o[k] for o in out], pa.float64()) for k in range(3)]
+        return [True] * len(out), [pa.array([o[k] for o in out], pa.float64()) for k in range(4)]
 
-    return _mapped(points, "new_col:double,new_row:double,corr:double", fn)
+    return _mapped(points, "new_col:double,new_row:double,corr:double,rotation:double", fn)
 
 
 def detect(windows: DataFrame, img: np.ndarray, model: Model, window: int) -> DataFrame:
@@ -271,7 +282,7 @@ def detect(windows: DataFrame, img: np.ndarray, model: Model, window: int) -> Da
 def preprocess(rasters: DataFrame, *, factors: dict[str, float], equalise: bool = True, clip: float = 1.25, tiles: int = 16) -> DataFrame:
     """8-bit rasters from digital numbers (image_id, band, height, width, data as 16-bit, calibration); one row at a time.
 
-    A row that fails keeps its key with null data and the error, and does not stop the others.
+    ``calibration`` is a number, or a look-up table as an array, of which the mean counts. A row that fails keeps its key with null data and the error, and does not stop the others.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -287,5 +298,8 @@ def preprocess(rasters: DataFrame, *, factors: dict[str, float], equalise: bool
                     rows.append({"image_id": r["image_id"], "band": r["band"], "height": None, "width": None, "data": None, "error": str(e)[:500]})
             yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("image_id", pa.int64()), ("band", pa.string()), ("height", pa.int32()), ("width", pa.int32()), ("data", pa.binary()), ("error", pa.string())]))
 
-    picked = rasters.select("image_id", "band", "height", "width", "data", F.col("calibration").cast("double").alias("calibration"))
+    level = F.col("calibration")
+    if isinstance(rasters.schema["calibration"].dataType, T.ArrayType):
+        level = F.aggregate(level, F.lit(0.0), lambda a, x: a + x.cast("double")) / F.size(level)
+    picked = rasters.select("image_id", "band", "height", "width", "data", level.cast("double").alias("calibration"))
     return picked.mapInArrow(run, "image_id long, band string, height int, width int, data binary, error string")

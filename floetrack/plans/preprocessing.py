@@ -15,17 +15,26 @@ NAMES = ("s0_HH", "s0_HV")
 
 
 @timed
-def preprocess_folder(spark: SparkSession, folder: str, out: str, *, pattern: str = "*.tiff", calibration: float = 255.0, equalise: bool = True, clip: float = 1.25, tiles: int = 16) -> DataFrame:
-    """Appends (filename, band, height, width, data, error) of the files not yet below ``out``; returns all of it.
+def preprocess_folder(spark: SparkSession, folder: str, out: str, *, pattern: str = "*.tiff", calibration: float | DataFrame = 255.0, equalise: bool = True, clip: float = 1.25, tiles: int = 16) -> DataFrame:
+    """Appends (filename, band, height, width, data, affine, error) of the files not yet done below ``out``; returns what it holds.
 
-    Files are numbered within a run only, to carry them through the kernel; a file that fails keeps a row
-    with its error, and the others go on.
+    ``calibration``: a level for all, or a table (filename, band, calibration: a number or a look-up table of which
+    the mean counts). The affine is that of the halved image. A file that fails keeps a row with its error, the
+    others go on, and it is tried again the next time; once it succeeds, its error is no longer shown.
+    Files are numbered within a run only, to carry them through the kernel.
     """
-    decoded = catalog.decode(spark, folder, pattern).where("bits = 16")
+    decoded = catalog.decode(spark, folder, pattern).where("bits = 16 OR error IS NOT NULL")
     if catalog.exists(spark, out):
-        decoded = catalog.unprocessed(decoded, spark.read.parquet(out).select("filename").distinct())
+        decoded = catalog.unprocessed(decoded, spark.read.parquet(out).where("error IS NULL").select("filename").distinct())
     named = decoded.withColumn("band", F.element_at(F.array(*[F.lit(n) for n in NAMES]), F.col("band_no") + 1)).withColumn("image_id", F.xxhash64("filename"))
-    done = raster.preprocess(named.withColumn("calibration", F.lit(calibration)), factors=FACTORS[equalise], equalise=equalise, clip=clip, tiles=tiles)
-    files = named.select("image_id", "filename").distinct()
-    done.join(files, "image_id").drop("image_id").write.mode("append").parquet(out)
-    return spark.read.parquet(out)
+    good = named.where("error IS NULL").drop("error")
+    level = good.withColumn("calibration", F.lit(calibration)) if not isinstance(calibration, DataFrame) else good.join(calibration, ["filename", "band"], "left")
+    done = raster.preprocess(level, factors=FACTORS[equalise], equalise=equalise, clip=clip, tiles=tiles)
+    halved = F.transform("affine", lambda v, i: F.when(i % 3 == 2, v).otherwise(v * 2))
+    files = good.select("image_id", "band", "filename", halved.alias("affine"))
+    columns = ["filename", "band", "height", "width", "data", "affine", "error"]
+    failed = named.where("error IS NOT NULL").select("filename", "band", "height", "width", "data", "affine", "error")
+    done.join(files, ["image_id", "band"]).select(*columns).unionByName(failed).write.mode("append").parquet(out)
+    held = spark.read.parquet(out)
+    fine = held.where("error IS NULL").select("filename").distinct()
+    return held.where("error IS NULL").unionByName(held.where("error IS NOT NULL").join(fine, "filename", "left_anti").dropDuplicates(["filename", "band"]).select(*held.columns))

@@ -575,7 +575,7 @@ def stream_fold(spark, sf_dir):
     state = fold.HeadsFold(f"{base}/state")
     stream = spark.readStream.schema(source.schema).option("maxFilesPerTrigger", 1000).parquet(f"{base}/in")
     fold.run(stream, state, f"{base}/checkpoint").awaitTermination()
-    return spark.read.parquet(f"{state.path}/v{state.version}").where("is_last").select("trajectory_id", "image_id", "event_id")
+    return state.heads(spark).select("trajectory_id", "image_id", "event_id")
 
 
 @register(f"WITH {PTS} SELECT strftime(date_trunc('day', time), '%Y-%m-%d') AS day, count(*) AS n, round(avg(corr), 6) AS mean_corr FROM pts GROUP BY 1")

@@ -41,16 +41,23 @@ def products(files: DataFrame, name: str = "filename") -> DataFrame:
 
 
 def decode(spark: SparkSession, folder: str, pattern: str = "*.tiff") -> DataFrame:
-    """(filename, band_no, height, width, bits, affine, data) of every band; one file is one row of a task."""
-    shape = "filename string, band_no int, height int, width int, bits int, affine array<double>, data binary"
+    """(filename, band_no, height, width, bits, affine, data, error) of every band; one file is one row of a task.
+
+    A file that cannot be read has one row, with its error and nulls.
+    """
+    shape = "filename string, band_no int, height int, width int, bits int, affine array<double>, data binary, error string"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from floetrack.sources import tiff
 
-        kinds = pa.schema([("filename", pa.string()), ("band_no", pa.int32()), ("height", pa.int32()), ("width", pa.int32()), ("bits", pa.int32()), ("affine", pa.list_(pa.float64())), ("data", pa.binary())])
+        kinds = pa.schema([("filename", pa.string()), ("band_no", pa.int32()), ("height", pa.int32()), ("width", pa.int32()), ("bits", pa.int32()), ("affine", pa.list_(pa.float64())), ("data", pa.binary()), ("error", pa.string())])
         for batch in batches:
             for i in range(batch.num_rows):
-                pixels, affine = tiff.read(batch.column(1)[i].as_py())
+                try:
+                    pixels, affine = tiff.read(batch.column(1)[i].as_py())
+                except Exception as e:  # noqa: BLE001 - kept as a column, as the other files go on
+                    yield pa.RecordBatch.from_pylist([{"filename": batch.column(0)[i].as_py(), "error": (str(e) or type(e).__name__)[:500]}], schema=kinds)
+                    continue
                 yield pa.RecordBatch.from_pylist(
                     [{"filename": batch.column(0)[i].as_py(), "band_no": k, "height": b.shape[0], "width": b.shape[1], "bits": b.dtype.itemsize * 8, "affine": affine, "data": b.tobytes()} for k, b in enumerate(pixels)],
                     schema=kinds,

@@ -175,18 +175,20 @@ def test_correlation_finds_shift_and_turn():
     img = scenes.surface(200)
     t = raster.cut(img, 100, 90, 16)
     moved = np.roll(img, (5, -7), (0, 1))
-    assert raster.search(moved, t, 100.4, 90.9, 0.0) == pytest.approx((93.4, 95.9, 1.0))
+    assert raster.search(moved, t, 100.4, 90.9, 0.0) == pytest.approx((93.4, 95.9, 1.0, 0.0))
     for turn in (15.0, -30.0):
         big = raster.rotated(img[40:151, 40:151], turn).astype(np.uint8)
-        c, r, corr = raster.search(big, raster.cut(img, 95, 95, 16), 55.0, 55.0, 0.0)
+        c, r, corr, won = raster.search(big, raster.cut(img, 95, 95, 16), 55.0, 55.0, 0.0)
         assert abs(c - 55) <= 1 and abs(r - 55) <= 1 and corr > 0.6
-    assert raster.search(img, t, 20, 20, 0.0) == (20, 20, 0.0)
+    assert raster.search(img, t, 20, 20, 0.0) == (20, 20, 0.0, 0.0)
     assert not raster.correlate(np.zeros((9, 9)), np.ones((3, 3))).any()
 
 
 def test_preprocessing():
     dn = np.full((8, 6), 100, np.uint16)
     assert (raster.calibrate(dn, np.array([200.0]), 1.0) == 127).all() and raster.calibrate(dn, 200.0, 1.0).shape == (4, 3)
+    # Halving takes the means of blocks.
+    assert (raster.calibrate(np.arange(16, dtype=np.uint16).reshape(4, 4) * 2, 255.0, 1.0) == [[5, 9], [21, 25]]).all()
     img = scenes.surface(128) // 4
     out = raster.clahe(img.astype(np.uint8), 2.0, 8)
     assert out.shape == img.shape and out.std() > img.std()
@@ -241,8 +243,14 @@ def test_stream_is_idempotent(spark, tmp_path):
     state(first, 0)
     state(first, 0)
     state(pts(spark, [(0, 2, True, 5, 5, NOW + timedelta(hours=1))]), 1)
-    got = {(r.trajectory_id, r.image_id, r.is_last) for r in state.state(first).collect()}
+    got = {(r.trajectory_id, r.image_id, r.is_last) for r in state.state(spark).collect()}
     assert got == {(0, 1, False), (1, 1, True), (0, 2, True)}
+    # Started again, it goes on; a late row is kept without becoming a head, and rows of one image all stay.
+    again = fold.HeadsFold(str(tmp_path))
+    again(pts(spark, [(0, 1, True, 9, 9, NOW), (2, 3, True, 1, 1, NOW), (2, 3, True, 2, 2, NOW)]), 2)
+    got = sorted((r.trajectory_id, r.image_id, r.is_last) for r in again.state(spark).collect())
+    assert got == [(0, 1, False), (0, 1, False), (0, 2, True), (1, 1, True), (2, 3, False), (2, 3, True)]
+    assert again.heads(spark).count() == 3 and fold.HeadsFold(str(tmp_path / "none")).state(spark) is None
 
 
 def test_logging(tmp_path):
@@ -277,3 +285,12 @@ def test_preprocessing_passes_over_what_is_done(spark, tmp_path):
         got = preprocessing.preprocess_folder(spark, str(folder), out, tiles=4)
     assert sorted((r.filename, r.band, r.height, r.width) for r in got.collect()) == [(f, b, 32, 24) for f in ("a.tiff", "b.tiff") for b in ("s0_HH", "s0_HV")]
     assert got.where("error IS NOT NULL").count() == 0
+    assert got.first().affine is None or len(got.first().affine) == 6
+    # A broken file has its error, stops no other, and is tried again.
+    (folder / "c.tiff").write_bytes(b"no image")
+    got = preprocessing.preprocess_folder(spark, str(folder), out, tiles=4)
+    assert [r.filename for r in got.where("error IS NOT NULL").collect()] == ["c.tiff"] and got.count() == 5
+    (folder / "c.tiff").write_bytes(tiff.write(rng.integers(0, 200, (2, 64, 48), dtype=np.uint16), [10.0, 0, 5.0, 0, -10.0, 7.0]))
+    got = preprocessing.preprocess_folder(spark, str(folder), out, tiles=4, calibration=spark.createDataFrame([("c.tiff", b, [100.0, 300.0]) for b in preprocessing.NAMES], "filename string, band string, calibration array<double>"))
+    assert got.where("error IS NOT NULL").count() == 0 and got.count() == 6
+    assert got.where("filename = 'c.tiff'").first().affine == [20.0, 0, 5.0, 0, -20.0, 7.0]
