@@ -9,6 +9,8 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -550,13 +552,14 @@ def rotation_search(spark, sf_dir):
     cuts = raster.extract_templates(pixel_points(spark, sf_dir), bands["s0_HV"])
     later = raster.bands(rasters, 2, ("s0_HV",))["s0_HV"]
     found = raster.match_templates(cuts, later, 0.0)
-    return found.select("trajectory_id", (F.col("new_col") - F.col("col")).alias("dx"), (F.col("new_row") - F.col("row")).alias("dy"), F.round("corr", 4).alias("corr"))
+    return found.select("trajectory_id", (F.col("new_col") - F.col("col")).alias("dx"), (F.col("new_row") - F.col("row")).alias("dy"), F.round("corr", 4).alias("corr"), "rotation")
 
 
 @register()
 def keypoint_detect(spark, sf_dir):
     _, _, bands = scene(spark)
-    free = grid.empty_windows(grid.windows(spark, 192, 192, 64), pixel_points(spark, sf_dir).where("trajectory_id <= 3"), 64)
+    placed = pixel_points(spark, sf_dir).withColumns({"col": F.col("col") * 0.6, "row": F.col("row") * 0.6})  # all points, in part of the scene
+    free = grid.empty_windows(grid.windows(spark, 192, 192, 64), placed, 64)
     return raster.detect(free, bands["s0_HV"], Config().model, 64).select("cell_row", "cell_col", "col", "row", F.round("response", 3).alias("response"))
 
 
@@ -582,3 +585,63 @@ def stream_fold(spark, sf_dir):
 def drift_windows(spark, sf_dir):
     out = fold.drift_windows(points(spark, sf_dir).withColumn("time", F.col("time").cast("timestamp")))
     return out.select(F.date_format(F.col("window.start"), "yyyy-MM-dd").alias("day"), "n", F.round("mean_corr", 6).alias("mean_corr"))
+
+
+# ---- pixel kernels over images made of a table's rows ----------------------------------------------
+SIDE = 16
+PIXELS = """px AS (
+  SELECT i.image_id, r.r, c.c, coalesce(p.v, 0) AS v
+  FROM (SELECT DISTINCT (p_partkey - 1) // 256 AS image_id FROM part) i, (SELECT unnest(range(16)) AS r) r, (SELECT unnest(range(16)) AS c) c
+  LEFT JOIN (SELECT p_partkey - 1 AS k, floor(p_retailprice)::BIGINT AS v FROM part) p ON p.k = i.image_id * 256 + r.r * 16 + c.c)"""
+
+
+def part_images(spark, sf_dir):
+    """16-bit images (image_id, band, height, width, data) of SIDE x SIDE prices, by part key; places without a part are 0."""
+    area = SIDE * SIDE
+    rows = table(spark, sf_dir, "part").select(F.expr(f"(p_partkey - 1) div {area}").alias("image_id"), F.expr(f"cast((p_partkey - 1) % {area} as int)").alias("at"), F.floor("p_retailprice").cast("int").alias("v"))
+    images = rows.groupBy("image_id").agg(F.map_from_entries(F.collect_list(F.struct("at", "v"))).alias("m"))  # SIDE * SIDE at most
+    two = f"array_join(transform(sequence(0, {area - 1}), i -> lpad(hex(coalesce(m[i], 0) & 255), 2, '0') || lpad(hex(shiftright(coalesce(m[i], 0), 8)), 2, '0')), '')"
+    return images.select("image_id", F.lit("s0_HV").alias("band"), F.lit(SIDE).alias("height"), F.lit(SIDE).alias("width"), F.unhex(F.expr(two)).alias("data"))
+
+
+@register(f"WITH {PIXELS} SELECT image_id, r // 2 AS \"row\", c // 2 AS col, floor(least(sum(v) / 4.0 / 1500.0 * 255.0 * 1.1, 255.0))::BIGINT AS grey FROM px GROUP BY ALL")
+def halved_images(spark, sf_dir):
+    images = part_images(spark, sf_dir).withColumn("calibration", F.array(F.lit(1000.0), F.lit(2000.0)))
+    out = raster.preprocess(images, factors={"s0_HV": 1.1}, equalise=False)
+    pixels = F.posexplode(F.expr("transform(sequence(1, length(data)), i -> cast(conv(hex(substring(data, i, 1)), 16, 10) as bigint))")).alias("at", "grey")
+    return out.select("image_id", "width", pixels).select("image_id", F.expr("cast(at div width as bigint)").alias("row"), F.expr("cast(at % width as bigint)").alias("col"), "grey")
+
+
+@register(f"""WITH {PIXELS}, shifts AS (SELECT unnest(range(3)) AS d),
+t AS (SELECT image_id, c - 1 AS r, r - 1 AS c, v FROM px WHERE r BETWEEN 1 AND 14 AND c BETWEEN 1 AND 14)
+SELECT t.image_id, y.d AS dy, x.d AS dx, round(coalesce(CASE WHEN isnan(corr(px.v, t.v)) THEN 0 ELSE corr(px.v, t.v) END, 0), 5) AS corr
+FROM t, shifts y, shifts x JOIN px ON px.image_id = t.image_id AND px.r = t.r + y.d AND px.c = t.c + x.d
+WHERE t.v % 3 > 0 GROUP BY ALL""")
+def masked_correlation(spark, sf_dir):
+    def run(batches):
+        for batch in batches:
+            out = {"image_id": [], "dy": [], "dx": [], "corr": []}
+            for image, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                img = np.frombuffer(data, np.uint16).reshape(SIDE, SIDE).astype(np.float64)
+                t = img.T[1:-1, 1:-1]
+                for (dy, dx), v in np.ndenumerate(raster.correlate(img, t, t % 3 > 0)):
+                    for name, value in zip(out, (image, dy, dx, round(float(v), 5)), strict=True):
+                        out[name].append(value)
+            yield pa.RecordBatch.from_pydict(out)
+
+    return part_images(spark, sf_dir).select("image_id", "data").mapInArrow(run, "image_id long, dy long, dx long, corr double")
+
+
+@register(f"WITH {PIXELS}, places AS (SELECT DISTINCT image_id, 5 + image_id % 7 AS pr, 5 + image_id % 5 AS pc FROM px) SELECT p.image_id, count(*) AS n, sum(px.v % 256)::BIGINT AS total, sum((px.v % 256) * ((px.r - p.pr + 5) * 11 + px.c - p.pc + 5))::BIGINT AS moment FROM places p JOIN px ON px.image_id = p.image_id AND abs(px.r - p.pr) <= 5 AND abs(px.c - p.pc) <= 5 GROUP BY ALL HAVING count(*) = 121")
+def template_slices(spark, sf_dir):
+    def run(batches):
+        for batch in batches:
+            out = {"image_id": [], "n": [], "total": [], "moment": []}
+            for image, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                t = raster.cut(np.frombuffer(data, np.uint16).reshape(SIDE, SIDE) % 256, 5 + image % 5, 5 + image % 7, 5)
+                if t is not None:
+                    for name, value in zip(out, (image, t.size, int(t.sum()), int((t.ravel().astype(np.int64) * np.arange(t.size)).sum())), strict=True):
+                        out[name].append(value)
+            yield pa.RecordBatch.from_pydict(out, schema=pa.schema([(n, pa.int64()) for n in out]))
+
+    return part_images(spark, sf_dir).select("image_id", "data").mapInArrow(run, "image_id long, n long, total long, moment long")
