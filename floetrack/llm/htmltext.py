@@ -28,6 +28,7 @@ BLOCK = frozenset("address article aside blockquote body br caption center dd de
 NEVER = frozenset("nav aside footer header menu button select textarea input label fieldset dialog search head".split())
 CLOSES_P = BLOCK - frozenset("br body html head option caption tbody td tfoot th thead tr legend".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+PARTS = HEADINGS | frozenset("p li pre blockquote td dd dt ul ol table tbody tr".split())
 # Parts of class names, ids and roles that mark containers other than article text.
 HINTS = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense banner breadcrumb breadcrumbs byline captcha comment comments commentlist consent cookie cookies copyright discussion disqus dialog feedback footer footnav gdpr header legal masthead menu menubar modal nav navbar navigation newsletter notice notices pagination pager paywall popup promo promoted promotion recommended related replies reply responses search share sharing sidebar signup skip social sponsor sponsored subscribe subscription tagcloud toolbar topbar widget alert complementary contentinfo".split()
@@ -35,10 +36,8 @@ HINTS = frozenset(
 # Parts that may stand beside those in a name without changing what it marks; of those, talk about the page.
 PLACES = frozenset("site page main global top bottom left right center primary secondary inner outer box bar block area section container wrapper wrap content list item items link links button buttons post posts form title text module panel group row col column".split())
 TALK = frozenset("comment comments commentlist discussion disqus replies reply responses".split())
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>",
-    re.S,
-)
+_NAME = re.compile(r"(/?)([a-zA-Z][^\s/>]*)")
+_QUOTE = re.compile("[\"']")
 _ATTRIBUTE = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
 _PARTS = re.compile(r"[a-z]+")
 _STOPS = re.compile(r"[.,;:!?…。、，]")
@@ -46,15 +45,80 @@ _STOPS = re.compile(r"[.,;:!?…。、，]")
 SMOOTH, THRESHOLD, COVER = 2, 0.5, 0.8
 
 
+class Paths:
+    """Root-to-leaf paths as numbers: each is the path above it and one more step."""
+
+    def __init__(self) -> None:
+        self._known: dict[tuple[int, str], int] = {}
+        self.up, self.depth = [0], [0]
+
+    def below(self, path: int, step: str) -> int:
+        found = self._known.setdefault((path, step), len(self.up))
+        if found == len(self.up):
+            self.up.append(path)
+            self.depth.append(self.depth[path] + 1)
+        return found
+
+    def alike(self, a: int, b: int) -> float:
+        """The share of steps that two paths have in common from the root."""
+        longest = max(self.depth[a], self.depth[b]) + 1
+        while a != b:
+            if self.depth[a] >= self.depth[b]:
+                a = self.up[a]
+            else:
+                b = self.up[b]
+        return (self.depth[a] + 1) / longest
+
+
 class Node:
-    """An open element: its tag, path, whether it can hold article text, and whether a name or a form marks it."""
+    """An open element: its tag, path, number in page order, whether it can hold article text, and what a name or a form marks."""
 
-    __slots__ = ("mark", "marks", "never", "number", "path", "tag", "up")
+    __slots__ = ("article", "form", "mark", "marks", "never", "number", "path", "tag", "up")
 
-    def __init__(self, tag: str, path: str, number: int, never: bool, mark: str, up: Node | None):
+    def __init__(self, tag: str, path: int, number: int, never: bool, mark: str, up: Node | None):
         self.tag, self.path, self.number, self.never, self.mark, self.up = tag, path, number, never, mark, up
-        above = up.marks if up is not None else ()
-        self.marks: tuple[Node, ...] = (*above, self) if mark else above
+        #: Marked elements from the root to here; whether one of them is an article or a form.
+        self.marks = (up.marks if up is not None else 0) + bool(mark)
+        self.article = tag in ("article", "main") or up is not None and up.article
+        self.form = tag == "form" or up is not None and up.form
+
+
+class Tags:
+    """The tags of a page in order, each met once, however broken: what is never closed is looked for once only."""
+
+    def __init__(self, page: str):
+        self.page = page
+        self.last = {c: page.rfind(c) for c in (">", '"', "'", "-->", "]]>")}
+        self._unclosed: set[str] = set()
+
+    def end(self, at: int) -> int:
+        """Where the tag that begins at a place ends; 0 if nowhere. A quote that is not closed is an ordinary character."""
+        page, first = self.page, self.page.find(">", at) if at <= self.last[">"] else -1
+        if first < 0:
+            return 0
+        stop, q = first, at
+        while m := _QUOTE.search(page, q, stop):
+            if m.end() > self.last[m[0]]:
+                return first + 1
+            q = page.find(m[0], m.end()) + 1
+            if q > stop:
+                if q > self.last[">"]:
+                    return first + 1
+                stop = page.find(">", q)
+        return stop + 1
+
+    def after(self, mark: str, at: int) -> int:
+        """Where the next ``mark`` has ended; 0 if there is none."""
+        return self.page.find(mark, at) + len(mark) if at <= self.last[mark] else 0
+
+    def closing(self, tag: str, at: int) -> re.Match | None:
+        """The next end tag of a name."""
+        if tag in self._unclosed:
+            return None
+        found = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(self.page, at)
+        if found is None:
+            self._unclosed.add(tag)
+        return found
 
 
 def _named(names: list[str]) -> str:
@@ -85,9 +149,10 @@ def _hinted(tag: str, attributes: str) -> tuple[str, bool, str]:
     return f"{tag}.{'.'.join(sorted(parts))}" if parts else tag, hidden, mark
 
 
-def blocks(page: str) -> list[tuple[str, Node, int]]:
-    """(text, innermost block element, characters within links) of each block with text, in page order."""
-    top = Node("", "", 0, False, "", None)
+def blocks(page: str) -> tuple[list[tuple[str, Node, int]], Paths]:
+    """((text, innermost block element, characters within links) of each block with text, in page order; the paths)."""
+    paths, tags = Paths(), Tags(page)
+    top = Node("", 0, 0, False, "", None)
     at, number, links = top, 0, 0
     out: list[tuple[str, Node, int]] = []
     text: list[str] = []
@@ -102,20 +167,33 @@ def blocks(page: str) -> list[tuple[str, Node, int]]:
             text.clear()
         linked = 0
 
-    pos, size = 0, len(page)
+    pos, size, look = 0, len(page), 0
     while pos < size:
-        m = _TOKEN.search(page, pos)
-        run = page[pos : m.start()] if m else page[pos:]
+        lt = page.find("<", look)
+        m, end, inner = None, 0, ""
+        if lt >= 0:
+            if page.startswith("<!--", lt):
+                end = tags.after("-->", lt + 4) or size
+            elif page.startswith("<![CDATA[", lt) and (end := tags.after("]]>", lt + 9)):
+                inner = html.escape(page[lt + 9 : end - 3])
+            elif page[lt + 1 : lt + 2] in ("!", "?"):
+                end = tags.after(">", lt)
+            elif m := _NAME.match(page, lt + 1):
+                end = tags.end(m.end())
+            if not end and lt < tags.last[">"]:
+                look = lt + 1  # no tag: text
+                continue
+        run = page[pos:lt] if end else page[pos:]
         if run:
             text.append(run)
             linked += len(run.strip()) if links else 0
-        if m is None:
+        if not end:
             break
-        pos = m.end()
-        if m[2] is None:
-            if m[0].startswith("<![CDATA["):
-                text.append(html.escape(m[0][9:-3]))
+        pos = look = end
+        if m is None:
+            text.append(inner)
             continue
+        attributes, empty = page[m.end() : end - 1], page[end - 2] == "/"
         tag = m[2].lower()
         if m[1]:
             if tag == "a":
@@ -128,19 +206,20 @@ def blocks(page: str) -> list[tuple[str, Node, int]]:
                 if node is not None and node.up is not None:
                     at = node.up
             continue
-        if tag in RAW and not m[0].endswith("/>"):
-            end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, pos)
-            pos = end.end() if end else size if tag in ("script", "style") else pos
+        if tag in RAW and not empty:
+            close = tags.closing(tag, pos)
+            pos = look = close.end() if close else size if tag in ("script", "style") else pos
             continue
         if tag == "a":
             links = 1
         if tag not in BLOCK:
-            _, never, mark = _hinted(tag, m[3])
-            if never or mark or tag in NEVER:
+            _, never, mark = _hinted(tag, attributes)
+            control = tag in NEVER and (tag != "label" or at.form)  # a label within a sentence is text
+            if never or mark or control:
                 # An inline element that is no article text is skipped to its end; by its name only if it is no wrapper of the page.
-                if not m[0].endswith("/>") and tag not in VOID and (end := re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, pos)):
-                    if never or tag in NEVER or 2 * (end.start() - pos) < size:
-                        pos = end.end()
+                if not empty and tag not in VOID and (close := tags.closing(tag, pos)):
+                    if never or control or 2 * (close.start() - pos) < size:
+                        pos = look = close.end()
             continue
         flush()
         if tag in ("br", "hr"):
@@ -156,13 +235,13 @@ def blocks(page: str) -> list[tuple[str, Node, int]]:
             if last is not None:
                 at = last.up
         number += 1
-        step, never, mark = _hinted(tag, m[3])
-        at = Node(tag, f"{at.path}/{step}", number, at.never or never or tag in NEVER, mark or ("form" if tag == "form" else ""), at)
+        step, never, mark = _hinted(tag, attributes)
+        at = Node(tag, paths.below(at.path, step), number, at.never or never or tag in NEVER, mark or ("form" if tag == "form" else ""), at)
     flush()
-    return out
+    return out, paths
 
 
-def _selected(found: list[tuple[str, Node, int]]) -> np.ndarray:
+def _selected(found: list[tuple[str, Node, int]], paths: Paths) -> np.ndarray:
     """Which blocks the ratios of their paths select."""
     # Ratios for each path: characters outside links, and punctuation marks, by node.
     length, stops, nodes = defaultdict(float), defaultdict(float), defaultdict(int)
@@ -172,122 +251,131 @@ def _selected(found: list[tuple[str, Node, int]]) -> np.ndarray:
         nodes[node.path] += 1
     ratio = np.array([length[n.path] / nodes[n.path] for _, n, _ in found])
     mark = np.array([stops[n.path] / nodes[n.path] for _, n, _ in found])
-    steps = [n.path.split("/") for _, n, _ in found]
+    own = [n.path for _, n, _ in found]
+    alike = [np.array([paths.alike(a, b) for a, b in zip(own, own[d:])]) for d in range(1, SMOOTH + 1)]
 
     def smooth(values: np.ndarray) -> np.ndarray:
         total, weight = values.copy(), np.ones(len(values))
         for d in range(1, SMOOTH + 1):
-            for i in range(len(values) - d):
-                a, b = steps[i], steps[i + d]
-                same = sum(x == y for x, y in zip(a, b, strict=False)) / max(len(a), len(b))
-                w = same * same / (d + 1)
-                total[i] += w * values[i + d]
-                weight[i] += w
-                total[i + d] += w * values[i]
-                weight[i + d] += w
+            w = alike[d - 1] ** 2 / (d + 1)
+            if len(w):
+                total[:-d] += w * values[d:]
+                weight[:-d] += w
+                total[d:] += w * values[:-d]
+                weight[d:] += w
         return total / weight
 
     fused = smooth(ratio) * (0.5 + smooth(mark))
     return fused >= min(THRESHOLD * fused.std(), fused.max()) if fused.max() > 0 else np.ones(len(found), bool)
 
 
-def _within_article(node: Node | None) -> bool:
-    while node is not None:
-        if node.tag in ("article", "main"):
-            return True
-        node = node.up
-    return False
+def _tree(found: list[tuple[str, Node, int]]) -> tuple[dict[int, Node], dict[int, int]]:
+    """(the elements above some blocks by number, in page order; the greatest number within each)."""
+    nodes: dict[int, Node] = {}
+    for _, node, _ in found:
+        while node is not None and node.number not in nodes:
+            nodes[node.number] = node
+            node = node.up
+    nodes = dict(sorted(nodes.items()))
+    last = {k: k for k in nodes}
+    for k in reversed(nodes):
+        if (up := nodes[k].up) is not None:
+            last[up.number] = max(last[up.number], last[k])
+    return nodes, last
 
 
-def _unmarked(found: list[tuple[str, Node, int]]) -> list[tuple[str, Node, int]]:
+def _unmarked(found: list[tuple[str, Node, int]], paths: Paths) -> list[tuple[str, Node, int]]:
     """The blocks outside marked containers. A mark does not hold for a container of most of the page's selected text.
 
     Beside such a container less than a share 1 - COVER of the text may stand unmarked, none in an article of
     its own, and beside talk none at all: a long thread of comments, or an advert longer than a short article, is
     not the page.
     """
-    marked = {n.number: n for _, node, _ in found for n in node.marks}
-    if not marked:
+    marks = np.array([node.marks for _, node, _ in found])
+    if not marks.any():
         return found
+    nodes, last = _tree(found)
+    at = np.array([node.number for _, node, _ in found])
+    article = np.array([node.article for _, node, _ in found])
     plain = np.array([len(t) - linked for t, _, linked in found], float)
-    own = [{n.number for n in node.marks} for _, node, _ in found]
-    under = {k: sum(plain[i] for i in range(len(found)) if k in own[i]) for k in marked} if len(marked) < 50 else dict.fromkeys(marked, plain.sum())
-    # Most pages have small ones only; those need no scores.
-    if 4 * max(under.values()) >= plain.sum():
-        weight = np.where(_selected(found), plain, 0.0)
-        cleared: set[int] = set()
-        for k in sorted(marked):  # outer ones first
-            if any(n.number not in cleared for n in marked[k].marks[:-1]):
-                continue
-            inside = sum(weight[i] for i in range(len(found)) if k in own[i])
-            # Beside a form only selected text counts; a name gives way to any text outside links.
-            rest = [i for i in range(len(found)) if k not in own[i] and own[i] <= cleared]
-            beside = sum((weight if marked[k].mark == "form" else plain)[rest])
-            if any(plain[i] > 0 and _within_article(found[i][1]) for i in rest) and not _within_article(marked[k]):
-                continue
-            if 2 * inside > weight.sum() and beside <= (0 if marked[k].mark == "talk" else (1 - COVER) * (inside + beside)):
-                cleared.add(k)
-        return [b for b, o in zip(found, own, strict=True) if o <= cleared]
-    return [b for b, o in zip(found, own, strict=True) if not o]
+    weight = np.where(_selected(found, paths), plain, 0.0)
+    held = dict.fromkeys(nodes, 0.0)
+    for k, w in zip(at.tolist(), weight.tolist(), strict=True):
+        held[k] += w
+    for k in reversed(nodes):
+        if (up := nodes[k].up) is not None:
+            held[up.number] += held[k]
+    cleared: list[int] = []
+    for k, node in nodes.items():  # outer ones first; those with most of the text lie in one another
+        if not node.mark or 2 * held[k] <= held[0] or node.marks - 1 > sum(c <= k <= last[c] for c in cleared):
+            continue
+        inside = (at >= k) & (at <= last[k])
+        # Beside a form only selected text counts; a name gives way to any text outside links.
+        rest = ~inside & (marks == 0)
+        beside = (weight if node.mark == "form" else plain)[rest].sum()
+        if (rest & article & (plain > 0)).any() and not node.article:
+            continue
+        own = weight[inside].sum()
+        if beside <= (0 if node.mark == "talk" else (1 - COVER) * (own + beside)):
+            marks[inside] -= 1
+            cleared.append(k)
+    return [b for b, m in zip(found, marks, strict=True) if m == 0]
 
 
 def main_text(page: str | None) -> str:
     """The main text of a page; empty if there is none."""
     if not page:
         return ""
-    found = _unmarked([b for b in blocks(page) if not b[1].never])
+    found, paths = blocks(page)
+    found = _unmarked([b for b in found if not b[1].never], paths)
     if not found:
         return ""
-    chosen = _selected(found)
-    size = np.array([len(t) for t, _, _ in found])
+    chosen = _selected(found, paths)
     # The deepest element with nearly all selected text, from the root down.
-    chains = []
-    for _, node, _ in found:
-        chain = []
-        while node is not None:
-            chain.append(node)
-            node = node.up
-        chains.append(chain[::-1])
-    total, depth = size[chosen].sum(), 0
-    inside = np.ones(len(found), bool)
-    while True:
-        held: dict[int, int] = defaultdict(int)
-        for i in np.flatnonzero(inside & chosen):
-            if len(chains[i]) > depth + 1:
-                held[chains[i][depth + 1].number] += int(size[i])
-        best = max(held, key=held.get, default=None)
-        # A lone paragraph is no article: its parent's other blocks belong to the text as well.
-        if best is None or held[best] < COVER * total:
-            break
-        if any(len(c) > depth and c[depth].tag == "article" for c, ok in zip(chains, inside, strict=True) if ok):
-            break
-        tag = next(c[depth + 1].tag for c in chains if len(c) > depth + 1 and c[depth + 1].number == best)
-        if tag in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "pre", "blockquote", "td", "dd", "dt", "ul", "ol", "table", "tbody", "tr"):
-            break
-        inside &= np.array([len(c) > depth + 1 and c[depth + 1].number == best for c in chains])
-        depth += 1
+    nodes, last = _tree(found)
+    held = dict.fromkeys(nodes, 0)
+    for (text, node, _), ok in zip(found, chosen, strict=True):
+        held[node.number] += len(text) if ok else 0
+    best: dict[int, int] = {}
+    for k in reversed(nodes):
+        if (up := nodes[k].up) is not None:
+            held[up.number] += held[k]
+    for k in nodes:
+        if (up := nodes[k].up) is not None and held[k] > held.get(best.get(up.number, -1), 0):
+            best[up.number] = k
+    total, now = sum(len(t) for (t, _, _), ok in zip(found, chosen, strict=True) if ok), 0
+    # A lone paragraph is no article: its parent's other blocks belong to the text as well.
+    while now in best and held[best[now]] >= COVER * total and nodes[now].tag != "article" and nodes[best[now]].tag not in PARTS:
+        now = best[now]
+    at = np.array([node.number for _, node, _ in found])
+    inside = (at >= now) & (at <= last[now])
     if not inside.all():
-        inside |= _beside(found, chains, inside, chosen, depth)
+        inside |= _beside(found, nodes, inside, chosen, now)
     return " ".join(t for (t, _, _), ok in zip(found, inside, strict=True) if ok)
 
 
-def _beside(found: list, chains: list, inside: np.ndarray, chosen: np.ndarray, depth: int) -> np.ndarray:
+def _beside(found: list, nodes: dict[int, Node], inside: np.ndarray, chosen: np.ndarray, now: int) -> np.ndarray:
     """Which blocks outside the article belong to it: branches with selected paths, headings and paragraphs beside its ancestors."""
     first = int(np.flatnonzero(inside)[0])
-    line = [n.number for n in chains[first][: depth + 1]]
+    line, node = set(), nodes[now]
+    while node is not None:
+        line.add(node.number)
+        node = node.up
+    # Of each element outside the line, the ancestor of it, or it itself, that stands next to the line.
+    next_to: dict[int, int] = {}
+    for k, node in nodes.items():
+        if k not in line:
+            next_to[k] = k if node.up.number in line else next_to[node.up.number]
     paths = {found[i][1].path for i in np.flatnonzero(chosen)}
     branch, taken = [], set()
     for i, (text, node, linked) in enumerate(found):
-        chain = chains[i]
-        k = 0
-        while k < min(len(chain), len(line)) and chain[k].number == line[k]:
-            k += 1
-        # The element next to the article or to one of its ancestors; text right in an ancestor is its own branch.
-        own = chain[k].number if k < len(chain) else -1 - i
+        # Text right in an ancestor is its own branch.
+        own = next_to.get(node.number, -1 - i)
         branch.append(own)
         if inside[i]:
             continue
-        if node.path in paths or k < len(chain) and linked * 2 < len(text) and (chain[k].tag in HEADINGS and i < first or chain[k].tag == "p" and chain[k - 1].tag not in ("", "html", "body")):
+        near = nodes[own] if own >= 0 else None
+        if node.path in paths or near is not None and linked * 2 < len(text) and (near.tag in HEADINGS and i < first or near.tag == "p" and near.up.tag not in ("", "html", "body")):
             taken.add(own)
     return np.array([b in taken for b in branch])
 

@@ -312,6 +312,23 @@ def test_text_beside_the_longest_section(wrap):
     assert htmltext.main_text(page) == want
 
 
+def test_article_text_stays_and_broken_pages_take_little():
+    import time
+
+    for body, want in (
+        ("<section class='related-work'><h2>Related work</h2><p>Others have done so, too, and well.</p></section>", "Related work Others have done so, too, and well."),
+        ("<p class='legal-history'>The legal history, in short, is this.</p>", "The legal history, in short, is this."),
+        ("<p>It cost <span class='share-price'>42 dollars</span> a share.</p>", "It cost 42 dollars a share."),
+        ("<p>Press the <label>red button</label> now.</p>", "Press the red button now."),
+    ):
+        assert want in htmltext.main_text(f"<body><nav><a href=/>Home</a></nav><article>{ARTICLE}{body}</article><footer>Us.</footer></body>")
+    started = time.process_time()
+    for part in ("<a ", "<div>", "<iframe>", "<label>", "<span class=ad>", "<!--", "<a 'x>", "<![CDATA["):
+        htmltext.main_text(part * (1_000_000 // len(part)))
+    htmltext.main_text("<div class=ad>" * 20_000 + "<p>word, word.</p></div>" * 20_000)
+    assert time.process_time() - started < 30
+
+
 @pytest.mark.parametrize(
     "wrap",
     ["<div class='page no-sidebar'>%s</div>", "<article class='post comments-open'>%s</article>", "<div class='layout header-fixed'>%s</div>", "<main class=legal>%s</main>", "<div class='legal'>%s</div>", "<form action=/>%s<input></form>", "<form><div class=search>%s</div></form>", "<x-app class=widget>%s</x-app>"],
