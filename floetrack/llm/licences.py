@@ -8,6 +8,8 @@ single newlines; the SQL knows sentences on one line only. All of it happens wit
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -111,11 +113,17 @@ def marked(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(cut, _NOISE, " "), r" ?([|~]) ?", "$1"))
 
 
+def _longer(ids: tuple[str, ...]) -> list[tuple[str, str]]:
+    """What to replace in framed identifiers so that a rule does not end where a longer one goes on."""
+    return sorted({(f",{ids[-1]},{x[len(ids)]},", f",{x[len(ids)]},") for _, x in RULES if len(x) > len(ids) and x[: len(ids)] == ids})
+
+
 def scan(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with n_sentences, sentence_ids and licences (comma-joined); columns of these names are replaced.
 
     Null and empty texts have no sentences and no licence; a long text is scanned whole; repeated rows
-    get equal results; licences come once each, in the order of the rules.
+    get equal results; licences come once each, in the order of the rules. Where a longer rule goes on from
+    a shorter one's sentences, the longer one has them.
     """
     made = ("n_sentences", "sentence_ids", "licences")
     kept = docs.drop(*made)
@@ -124,7 +132,11 @@ def scan(docs: DataFrame, text: str = "text") -> DataFrame:
     found = F.regexp_extract_all("_marked", F.lit(_WRAPPED), F.lit(1))
     rows = rows.withColumn("sentence_ids", F.array_join(F.transform(found, lambda s: table[F.translate(s, "~", " ")]), ","))
     framed = F.concat(F.lit(","), F.col("sentence_ids"), F.lit(","))
-    hits = [F.when(framed.rlike("(,.*)?".join(f",{x}" for x in ids) + ","), F.lit(name)) for name, ids in RULES]
+
+    def left(ids: tuple[str, ...]) -> Column:
+        return functools.reduce(lambda c, pair: F.replace(c, F.lit(pair[0]), F.lit(pair[1])), _longer(ids), framed)
+
+    hits = [F.when(left(ids).rlike("(,.*)?".join(f",{x}" for x in ids) + ","), F.lit(name)) for name, ids in RULES]
     rows = rows.withColumn("licences", F.array_join(F.array_distinct(F.filter(F.array(*hits), lambda x: x.isNotNull())), ","))
     return rows.withColumn("n_sentences", F.size(F.filter(F.split("_marked", "[|~]"), lambda s: F.trim(s) != "")).cast("long")).select(*kept.columns, *made)
 
@@ -137,7 +149,8 @@ def scan_sql() -> str:
     for name, _ in RULES:
         if name not in seen:
             seen.append(name)
-    hit = lambda name: " OR ".join(f"regexp_matches(framed, {quoted('(,.*)?'.join(f',{x}' for x in ids) + ',')})" for n, ids in RULES if n == name)
+    left = lambda ids: functools.reduce(lambda c, pair: f"replace({c}, {quoted(pair[0])}, {quoted(pair[1])})", _longer(ids), "framed")
+    hit = lambda name: " OR ".join(f"regexp_matches({left(ids)}, {quoted('(,.*)?'.join(f',{x}' for x in ids) + ',')})" for n, ids in RULES if n == name)
     names = ", ".join(f"CASE WHEN {hit(name)} THEN {quoted(name)} END" for name in seen)
     cut = CUT.replace("\\t", "\t").replace("\\r", "\r").replace("\\n", "\n")
     return f"""

@@ -25,7 +25,7 @@ def shared_root(spark: SparkSession) -> str:
     if named:
         return named.rstrip("/")
     if "root" not in _local:
-        if not spark.sparkContext.master.startswith("local["):
+        if spark.sparkContext.master.partition("[")[0] != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that the executors share")
         _local["root"] = "file://" + tempfile.mkdtemp(prefix="floetrack-")
     return _local["root"]

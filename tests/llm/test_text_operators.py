@@ -273,6 +273,14 @@ def test_licence_rules_need_order(spark):
         assert name in row.sentence_ids.split(","), name
 
 
+def test_the_longer_rule_has_the_sentences(spark):
+    s = licences.SENTENCES
+    two = ("bsd-grant", "bsd-source", "bsd-binary")
+    texts = [" ".join(s[x] for x in ids) for ids in (two, (*two, "bsd-names"), (*two, *two, "bsd-names"))]
+    got = licences.scan(odd(spark, texts)).orderBy("extra").collect()
+    assert [set(r.licences.split(",")) for r in got] == [{"BSD-2-Clause"}, {"BSD-3-Clause"}, {"BSD-3-Clause", "BSD-2-Clause"}]
+
+
 def test_wrapped_licences(spark):
     import textwrap
 
@@ -283,7 +291,7 @@ def test_wrapped_licences(spark):
     texts = [wrapped("mit-grant", "mit-notice", "as-is"), wrapped(*apache, mark="# "), wrapped(*bsd, mark=" * ", end="\r\n"), wrapped("gpl-free", "gpl-hope", mark="// "), wrapped("isc-grant"), "Copyright Foo\n" + wrapped("isc-grant") + "words after"]
     broken = wrapped("isc-grant").replace("\n", "\n\n")
     got = licences.scan(odd(spark, [*texts, broken])).orderBy("extra").collect()
-    assert [r.licences for r in got] == ["MIT", "Apache-2.0", "BSD-3-Clause,BSD-2-Clause", "GPL-3.0-or-later", "ISC", "ISC", ""]
+    assert [r.licences for r in got] == ["MIT", "Apache-2.0", "BSD-3-Clause", "GPL-3.0-or-later", "ISC", "ISC", ""]
 
 
 # ---- HTML ----------------------------------------------------------------------------------------
