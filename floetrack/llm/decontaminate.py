@@ -26,7 +26,7 @@ WORD_BYTES = bytesview.byte_class((0x30, 0x39), (0x41, 0x5A), (0x61, 0x7A), (0x8
 #: Words of test items held at once by a task and by the driver; a larger set is searched for in blocks.
 BLOCK_WORDS = 250_000
 #: Bytes of the texts of a segment, about, and places that a search follows at a time.
-SEGMENT_BYTES, PLACES = 1 << 21, 1 << 20
+SEGMENT_BYTES, PLACES = 1 << 20, 1 << 20
 SEGMENT = ("segment", "ids", "th1", "th2", "first", "n_words", "terms", "begin", "places")
 
 
