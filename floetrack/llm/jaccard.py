@@ -476,13 +476,15 @@ def near_duplicates(
     th1 and th2 identify a row's text. ``kept`` marks the rows of one id and text in each component, the least
     (rows with an id first), and every row without words; ``repeats`` counts the rows with that id and text.
     """
-    with store.scratch(docs.sparkSession):
-        found = _near_duplicates(docs, key, text, shingle, numerator, denominator)
-        return store.materialise(found, "near-duplicates", keep=True)
+    spark = docs.sparkSession
+    with store.scratch(spark):
+        rows = features(docs, key, text, shingle, numerator, denominator)
+        with store.files_for(spark, rows.agg(F.sum(F.col("n").cast("long"))).first()[0] or 0):
+            found = _near_duplicates(docs, rows, text, shingle, numerator, denominator)
+            return store.materialise(found, "near-duplicates", keep=True)
 
 
-def _near_duplicates(docs: DataFrame, key: str, text: str, shingle: int, numerator: int, denominator: int) -> DataFrame:
-    rows = features(docs, key, text, shingle, numerator, denominator)
+def _near_duplicates(docs: DataFrame, rows: DataFrame, text: str, shingle: int, numerator: int, denominator: int) -> DataFrame:
     facts = rows.where("n > 0").select("uid", "id", "th1", "th2", "n", "key1", "key2")
     some = facts.join(not_alone(rows).withColumn("met", F.lit(1)), "uid", "left")
     nodes = some.groupBy("key1", "key2").agg(F.min(F.struct("uid", "th1", "th2")).alias("first"), F.min("id").alias("least"), F.min(F.struct(F.col("id").isNull(), "id", "th1", "th2")).alias("keeps"), F.max("met").alias("met"))

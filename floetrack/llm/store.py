@@ -70,6 +70,24 @@ def scratch(spark: SparkSession) -> Iterator[None]:
             drop(spark, path)
 
 
+#: Numbers that one file of an intermediate table stands for, about, and the least number of files for each core.
+PER_FILE, FILES_PER_CORE = 500_000, 4
+_files: list[int] = []
+
+
+@contextlib.contextmanager
+def files_for(spark: SparkSession, numbers: int) -> Iterator[None]:
+    """Within it ``materialise`` merges small partitions: to as many files at most as ``numbers`` numbers ask for.
+
+    The bound grows with the input; tables of fewer partitions than that stay as they are.
+    """
+    _files.append(max(FILES_PER_CORE * spark.sparkContext.defaultParallelism, -(-int(numbers) // PER_FILE)))
+    try:
+        yield
+    finally:
+        _files.pop()
+
+
 def materialise(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     """``df`` written once as Parquet in the shared folder and read back; any rows, an empty table too.
 
@@ -84,7 +102,7 @@ def materialise(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     before = spark.conf.get(BATCH_SETTING)
     spark.conf.set(BATCH_SETTING, BATCH_BYTES)
     try:
-        df.write.option("compression", "zstd").parquet(path)
+        (df.coalesce(_files[-1]) if _files else df).write.option("compression", "zstd").parquet(path)
     finally:
         spark.conf.set(BATCH_SETTING, before)
     return spark.read.schema(df.schema).parquet(path)
