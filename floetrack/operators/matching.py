@@ -1,14 +1,13 @@
 """Descriptor matching: nearest neighbours, ratio test, filter cascade and motion models.
 
-Distances of all pairs of two point sets are computed blockwise in numpy: one side is held in packed
-blocks of bounded size, the other streams by in Arrow batches, and only each block's best survive, to be
-reduced by aggregates with map-side combination. No cross join is planned, and no pair is shuffled
-that cannot win.
+Distances of all pairs of two point sets are computed blockwise in numpy: both sides are dealt into blocks of
+bounded size, each pair of blocks is a task's, and only each block's best survive, to be reduced by aggregates
+with map-side combination. Nothing is collected or broadcast, and no pair is shuffled that cannot win.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -17,8 +16,8 @@ from pyspark.sql import functions as F
 
 MAX_DISTANCE, MAX_SHIFT, RATIO, NEIGHBOURS, WEAK = 130, 100_000.0, 0.9, 4, 0.1
 RESIDUAL, LEAST = 13_000.0, 4
-#: Descriptors of the held side in one block.
-BLOCK_ROWS = 65_536
+#: Descriptors of the right side in one block; of the left side in a block for its own core; distances held at a time.
+BLOCK_ROWS, LEAST_ROWS, CELLS = 65_536, 256, 1 << 22
 
 
 def packed(descriptors: list[bytes]) -> np.ndarray:
@@ -39,43 +38,78 @@ def hamming2(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
-def _blocks(held: DataFrame, rows: int) -> Iterator[DataFrame]:
-    count = held.count()
-    n = max(1, -(-count // rows))
-    for i in range(n):
-        yield held if n == 1 else held.where(F.pmod(F.xxhash64("id"), F.lit(n)) == i)
+def _dealt(side: DataFrame, blocks: int) -> DataFrame:
+    return side.where("descriptors IS NOT NULL").select(F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("own"), "id", "descriptors")
+
+
+def _grid(left: DataFrame, right: DataFrame, rows: int) -> tuple[int, int]:
+    """Blocks of the left and of the right side: of ``rows`` rows on the right, a sixteenth on the left, less where cores would idle."""
+    n, m = left.count(), right.count()
+    across = max(1, -(-m // rows))
+    busy = min(-(-left.sparkSession.sparkContext.defaultParallelism // across), -(-n // LEAST_ROWS))
+    return max(1, -(-n // max(1, rows // 16)), busy), across
 
 
 def _per_block(left: DataFrame, right: DataFrame, k: int, both: bool, rows: int) -> DataFrame:
-    """(side, id, other, dist): of each left row its k nearest in each block; with ``both``, of each right row its nearest in each batch."""
-    schema = "side string, id long, other long, dist int"
-    out = None
-    for block in _blocks(right, rows):
-        got = block.where("descriptors IS NOT NULL").select("id", "descriptors").orderBy("id").toArrow()
-        kept = left.sparkSession.sparkContext.broadcast((got.column("id").to_numpy(), packed(got.column("descriptors").to_pylist())))
-
-        def run(batches: Iterator[pa.RecordBatch], kept=kept) -> Iterator[pa.RecordBatch]:
-            ids, words = kept.value
-            for batch in batches:
-                for at in range(0, batch.num_rows, 512):
-                    part = batch.slice(at, 512)
-                    if not len(ids):
-                        continue
-                    own = part.column(0).to_numpy()
-                    order = np.argsort(own)
-                    own = own[order]
-                    dist = hamming2(packed([part.column(1)[int(i)].as_py() for i in order]), words)
-                    # Ties go to the lesser id: distances and ranks in one sortable number.
-                    near = np.argsort(dist, axis=1, kind="stable")[:, :k]
-                    cols = [np.repeat("l", near.size), np.repeat(own, near.shape[1]), ids[near].ravel(), np.take_along_axis(dist, near, 1).ravel()]
-                    yield pa.RecordBatch.from_arrays([pa.array(cols[0].tolist(), pa.string()), pa.array(cols[1]), pa.array(cols[2]), pa.array(cols[3].astype(np.int32))], names=["side", "id", "other", "dist"])
-                    if both:
-                        best = dist.argmin(axis=0)
-                        yield pa.RecordBatch.from_arrays([pa.array(["r"] * len(ids)), pa.array(ids), pa.array(own[best]), pa.array(dist[best, np.arange(len(ids))].astype(np.int32))], names=["side", "id", "other", "dist"])
-
-        found = left.where("descriptors IS NOT NULL").select("id", "descriptors").mapInArrow(run, schema)
-        out = found if out is None else out.union(found)
-    return out
+    """(side, id, other, dist): of each left row its k nearest in each right block; with ``both``, of each right row its nearest in each left block.
+
+    Blocks meet by a key, one pair of blocks a task; a task keeps running minima and sends each once. So the rows
+    that move are those of each side, once for each block of the other.
+    """
+    down, across = _grid(left, right, rows)
+
+    def facing(side: DataFrame, own: int, other: int, pair) -> DataFrame:
+        spread = _dealt(side, own).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(other - 1))))
+        return spread.select(pair.alias("pair"), "id", "descriptors").repartition(down * across, "pair")
+
+    a = facing(left, down, across, F.col("own") * across + F.col("other"))
+    b = facing(right, across, down, F.col("other") * across + F.col("own"))
+
+    def run(one: pa.Table, two: pa.Table) -> pa.Table:
+        (ids, words), (others, held) = _ordered(one), _ordered(two)
+        out = [[], [], [], []]
+        if len(ids) and len(others):
+            least, nearest = np.full(len(others), np.iinfo(np.int32).max, np.int32), np.zeros(len(others), np.int64)
+            step = max(1, CELLS // len(others))
+            for at in range(0, len(ids), step):
+                own, dist = ids[at : at + step], hamming2(words[at : at + step], held)
+                near = _nearest(dist, k)
+                _add(out, "l", np.repeat(own, near.shape[1]), others[near].ravel(), np.take_along_axis(dist, near, 1).ravel())
+                if both:  # ids ascend, so the lesser one keeps a tie
+                    best = dist.argmin(axis=0)
+                    value = dist[best, np.arange(len(others))]
+                    closer = value < least
+                    least[closer], nearest[closer] = value[closer], own[best[closer]]
+            if both:
+                _add(out, "r", others, nearest, least)
+        side, own, other, dist = (np.concatenate(c) if c else np.zeros(0, np.int64) for c in out)
+        return pa.table([pa.array(side.astype(str), pa.string()), pa.array(own, pa.int64()), pa.array(other, pa.int64()), pa.array(dist.astype(np.int32), pa.int32())], names=["side", "id", "other", "dist"])
+
+    return a.groupBy("pair").cogroup(b.groupBy("pair")).applyInArrow(run, "side string, id long, other long, dist int")
+
+
+def _ordered(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """The ids, ascending, and their packed descriptors."""
+    ids = rows.column("id").to_numpy()
+    order = np.argsort(ids, kind="stable")
+    return ids[order], packed(rows.column("descriptors").take(pa.array(order)).to_pylist())
+
+
+def _nearest(dist: np.ndarray, k: int) -> np.ndarray:
+    """Of each row the columns of its k least values, ascending; the lesser column on ties."""
+    if k == 1:
+        return dist.argmin(axis=1)[:, None]
+    size = dist.shape[1]
+    keys = dist.astype(np.int64) * size + np.arange(size)
+    if k < size:
+        keys = np.partition(keys, k - 1, axis=1)[:, :k]
+    return np.sort(keys, axis=1) % size
+
+
+def _add(out: list[list], side: str, *columns: np.ndarray) -> None:
+    out[0].append(np.repeat(side, len(columns[0])))
+    for held, column in zip(out[1:], columns, strict=True):
+        held.append(column)
 
 
 def crosscheck(left: DataFrame, right: DataFrame, rows: int = BLOCK_ROWS) -> DataFrame:
@@ -219,11 +253,11 @@ def cascade(matches: DataFrame, by: str | None = None, *, use_model: bool = True
     return robust_fit(keyed, by or "_all", threshold=threshold).where("inlier").drop("inlier", "_all")
 
 
-def match(left: DataFrame, right: DataFrame, *, use_model: bool = True, fallback: bool = True) -> DataFrame:
+def match(left: DataFrame, right: DataFrame, *, use_model: bool = True, fallback: bool = True, keep: Callable[[DataFrame, str], DataFrame] = lambda df, name: df) -> DataFrame:
     """(q, t, dist, x0, y0, x1, y1[, residual]): points (id, descriptors, x, y) of ``left`` found in ``right``.
 
     Mutual matches through the cascade; if fewer than a tenth of the left points remain, ratio matches
-    are added before the cascade.
+    are added before the cascade. ``keep`` writes what is used twice, so that it is found once.
     """
 
     def placed(m: DataFrame) -> DataFrame:
@@ -231,12 +265,12 @@ def match(left: DataFrame, right: DataFrame, *, use_model: bool = True, fallback
         b = right.select(F.col("id").alias("t"), F.col("x").alias("x1"), F.col("y").alias("y1"))
         return m.join(a, "q").join(b, "t")
 
-    mutual = crosscheck(left, right)
+    mutual = keep(crosscheck(left, right), "mutual")
     found = cascade(placed(mutual), use_model=use_model)
     if not fallback:
         return found
-    total, kept = left.count(), found.count()
-    if kept >= WEAK * total:
+    found = keep(found, "found")
+    if found.count() >= WEAK * left.count():
         return found
     # The shift limit is part of the ratio test, so places are joined before it.
     near = placed(nearest(left, right))

@@ -118,7 +118,7 @@ class Processor:
         x, y = geo.affine(F.col("col"), F.col("row"), image.affine)
         on_grid = self._kept(described.select("id", "descriptors", x.cast("double").alias("x"), y.cast("double").alias("y")), "grid")
         left = old.select(F.col("trajectory_id").alias("id"), "descriptors", "x", "y")
-        found = self._kept(matching.match(left, on_grid, use_model=c.use_model), "matches").withColumnRenamed("q", "trajectory_id")
+        found = self._kept(matching.match(left, on_grid, use_model=c.use_model, keep=self._kept), "matches").withColumnRenamed("q", "trajectory_id")
         if c.interpolate:
             placed = interpolate.interpolate(old, found, footprint=image.ring(), affine=image.affine, height=image.height, width=image.width)
         else:
