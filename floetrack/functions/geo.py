@@ -30,15 +30,23 @@ def polar_forward(lon: Column, lat: Column) -> tuple[Column, Column]:
     return rho * F.sin(lam), -rho * F.cos(lam)
 
 
-def polar_inverse(x: Column, y: Column) -> tuple[Column, Column]:
-    """Degrees from map metres, by five rounds of the fixed point for the latitude."""
+def polar_inverse(x: Column, y: Column, meridian: Column | None = None) -> tuple[Column, Column]:
+    """Degrees from map metres, by five rounds of the fixed point for the latitude.
+
+    A place has two names, (lon, lat) and, counted on past the pole, (lon + 180, 180 - lat). ``meridian``, a longitude
+    known of it, chooses the one nearer to it, and is the longitude of the pole and of places that are null or NaN.
+    Without it latitudes end at 90.
+    """
     t = F.hypot(x, y) * (_T / (AXIS * _M))
     phi = F.lit(math.pi / 2) - F.atan(t) * 2
     for _ in range(5):
         es = F.sin(phi) * ECCENTRICITY
         phi = F.lit(math.pi / 2) - F.atan(t * F.pow((F.lit(1.0) - es) / (es + 1.0), F.lit(ECCENTRICITY / 2))) * 2
-    lon = F.degrees(F.atan2(x, -y)) + CENTRAL_LONGITUDE
-    return F.when(lon < -180, lon + 360).otherwise(lon), F.degrees(phi)
+    lon, lat = F.degrees(F.atan2(x, -y)) + CENTRAL_LONGITUDE, F.degrees(phi)
+    if meridian is not None:
+        beyond = F.cos(F.radians(lon - meridian)) < 0
+        lon, lat = F.when((t > 0) & ~F.isnan(t), F.when(beyond, lon + 180).otherwise(lon)).otherwise(meridian), F.when(beyond & (t > 0), F.lit(180.0) - lat).otherwise(lat)
+    return F.when(lon < -180, lon + 360).otherwise(lon), lat
 
 
 def rotation_angle(x0: Column, y0: Column, x1: Column, y1: Column) -> Column:
