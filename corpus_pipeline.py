@@ -63,13 +63,19 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, in files in the order of the mix."""
+    """All documents, in files in the order of the mix; the shards keep it."""
     return mixing.in_order(mixing.mix(docs)).select(*docs.columns)
 
 
 def cut_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents with their shard of eight and the slot in it."""
-    return hilbert.shard(docs, dimensions=queries.DIMENSIONS, n_shards=8, law="rows").select(*docs.columns, "size", "cell", "shard", "slot")
+    """All documents with their shard of eight and the slot in it.
+
+    The curve decides on the shard, the order of the rows in the files of ``docs``, which is that of the mix, on
+    the slot: read by its slots a shard has its sources as they are mixed. Texts are moved once.
+    """
+    placed = store.numbered(docs, "place")
+    cut = hilbert.shard(placed.select("place", "doc_id", "text", "lang", "source"), dimensions=queries.DIMENSIONS, n_shards=8, law="rows", keep_text=False, order="place")
+    return placed.join(cut.select("place", "size", "cell", "shard", "slot"), "place").select(*docs.columns, "size", "cell", "shard", "slot")
 
 
 STAGES = [

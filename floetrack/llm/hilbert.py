@@ -22,6 +22,8 @@ from floetrack.llm import store
 
 #: Buckets of a cell by the text's checksum, and of those by the row's id.
 GROUPS, SPREAD = 16, 64
+#: Bits of an order's values that rows of one bucket may differ in.
+RUN_BITS = 12
 
 
 def let(value: Column, then: Callable[[Column], Column]) -> Column:
@@ -100,6 +102,7 @@ def shard(
     key: str = "doc_id",
     text: str = "text",
     keep_text: bool = True,
+    order: str | None = None,
 ) -> DataFrame:
     """``docs`` with size, text_crc32, cell, law, shard and slot; columns of these names are replaced.
 
@@ -109,7 +112,8 @@ def shard(
     ``dimensions``: (column or ``size``, ``size`` or ``label``). law ``rows``: the counts of the shards
     are at most one apart. law ``bytes``: a row goes to the shard that holds the middle of its bytes, so
     sizes differ from an equal share by less than the largest row. Slots count from 0 in each shard
-    without gaps, in the order of the curve; within a cell, rows with equal texts lie together.
+    without gaps, in the order of the curve; within a cell, rows with equal texts lie together. With ``order``, a
+    column of distinct longs such as row numbers, the curve decides on the shard and ``order`` on the slots in it.
 
     Null or empty texts have size 1 and checksum 0; null metadata has coordinate 0; rows repeated with
     all their columns, null keys included, each get a slot of their own; rows with one key go by a hash of
@@ -165,4 +169,16 @@ def shard(
         rows = rows.withColumn("_rank", rank).withColumn("shard", number.cast("int"))
         firsts = rows.groupBy("shard").agg(F.min("_rank").alias("_first"))  # n_shards rows
         rows = rows.join(F.broadcast(firsts), "shard").withColumn("slot", F.col("_rank") - F.col("_first"))
+    if order is not None:
+        rows = _in_order(rows, F.col("row")[order])
     return rows.withColumn("law", F.lit(law)).select("row.*", *made)
+
+
+def _in_order(rows: DataFrame, value: Column) -> DataFrame:
+    """``rows`` with the slots of each shard by ``value``: counted by its runs of values, put in order within them only."""
+    rows = rows.withColumn("_value", value).withColumn("_run", F.shiftright("_value", RUN_BITS))
+    counts = rows.groupBy("shard", "_run").agg(F.count("*").alias("_rows"))
+    before = Window.partitionBy("shard").orderBy("_run").rowsBetween(Window.unboundedPreceding, -1)  # a row for each run
+    starts = counts.select("shard", "_run", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_start"))
+    at = F.row_number().over(Window.partitionBy("shard", "_run").orderBy("_value")).cast("long") - 1
+    return rows.withColumn("_in_run", at).join(starts, ["shard", "_run"]).withColumn("slot", F.col("_start") + F.col("_in_run"))

@@ -13,7 +13,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 _local: dict[str, str] = {}
@@ -108,6 +108,22 @@ def materialise(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def numbered(df: DataFrame, name: str) -> DataFrame:
+    """``df`` with a column ``name``: longs that rise in the order of its rows, file by file; no two are equal.
+
+    The number is a row's place in the stored files, so it is the same however often it is read. What is not
+    a plain Parquet table is written first, in the order of its partitions. An empty table stays empty.
+    """
+    if df._jdf.queryExecution().analyzed().nodeName() != "LogicalRelation" or not df.inputFiles():
+        df = materialise(df, name)
+    # Files are in the order of the tasks that wrote them, which have six digits or more from 100,000 on.
+    path, task = F.col("_metadata.file_path"), F.regexp_extract("_path", r"part-(\d+)[^/]*$", 1).try_cast("long")
+    files = df.select(path.alias("_path")).distinct()
+    files = files.select("_path", F.row_number().over(Window.orderBy(task, "_path")).cast("long").alias("_file"))  # a row for each file
+    rows = df.select("*", path.alias("_path"), F.col("_metadata.row_index").alias("_row")).join(F.broadcast(files), "_path")
+    return rows.select(*df.columns, (F.shiftleft("_file", 40) + F.col("_row")).alias(name))
+
+
 def text_keys(text: str) -> list[Column]:
     """th1 and th2: 128 bits that equal texts share (null ones too), without leaving the JVM."""
     return [F.xxhash64(F.lit(1), F.col(text)).alias("th1"), F.xxhash64(F.lit(2), F.lit("x"), F.col(text)).alias("th2")]

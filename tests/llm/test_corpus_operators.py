@@ -402,3 +402,35 @@ def test_pipeline_near_duplicates_from_four_fifths(spark, small):
     docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
     assert sorted(r.doc_id for r in cp.drop_near_duplicates(spark, docs, small).collect()) == [0, 2]
     assert sorted({r.component_id for r in jaccard.near_duplicates(docs).collect()}) == [0, 1, 2]
+
+
+def test_pipeline_shards_keep_the_mix(spark, small):
+    import corpus_pipeline as cp
+
+    rows = [(i, f"text {i}", "en", f"s{i % 3 if i % 10 == 0 else 0}", 6) for i in range(600)] + [(7, "text 7", "en", "s0", 6), (None, None, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    row = lambda r: tuple(r[c] for c in docs.columns)
+    mixed = cp.mix_sources(spark, docs, small)
+    order = [row(r) for r in mixing.in_order(mixing.mix(docs)).collect()]
+    for given in (store.materialise(mixed, "mixed"), mixed):
+        got = cp.cut_shards(spark, given, small).collect()
+        assert Counter(row(r) for r in got) == Counter(map(tuple, rows))
+        spots = {}
+        for k, r in enumerate(order):
+            spots.setdefault(r, []).append(k)
+        for shard in range(8):
+            own = sorted((r for r in got if r.shard == shard), key=lambda r: r.slot)
+            assert [r.slot for r in own] == list(range(len(own))) and 75 <= len(own) <= 76
+            once = [spots[row(r)][0] for r in own if len(spots[row(r)]) == 1]
+            assert once == sorted(once)
+    unmixed = {row(r): (r.shard, r.slot) for r in cp.cut_shards(spark, docs, small).collect()}
+    assert unmixed != {row(r): (r.shard, r.slot) for r in got}
+
+
+def test_numbers_follow_the_files(spark):
+    kept = store.materialise(spark.range(0, 5000, 1, 7), "range")
+    got = store.numbered(kept, "at").collect()
+    assert [r.id for r in sorted(got, key=lambda r: r["at"])] == list(range(5000)) and len({r["at"] for r in got}) == 5000
+    joined = kept.union(kept)
+    assert len({r["at"] for r in store.numbered(joined, "at").collect()}) == 10_000
+    assert store.numbered(kept.where("false"), "at").count() == 0 and store.numbered(store.materialise(kept.where("false"), "none"), "at").count() == 0
