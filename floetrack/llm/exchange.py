@@ -72,6 +72,8 @@ def _packed(sent: Sent, buckets: int) -> pa.RecordBatch:
                 at.append(b"")
                 data.append(_bytes(columns))
             continue
+        if not len(hashes):
+            continue
         bucket = ((hashes >> np.uint64(16)) * np.uint64(buckets)) >> np.uint64(32)
         edges = np.flatnonzero(np.diff(bucket.astype(np.int64), prepend=-1))
         for s, e in zip(edges, [*edges[1:], len(hashes)], strict=True):

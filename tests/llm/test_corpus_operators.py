@@ -434,3 +434,8 @@ def test_numbers_follow_the_files(spark):
     joined = kept.union(kept)
     assert len({r["at"] for r in store.numbered(joined, "at").collect()}) == 10_000
     assert store.numbered(kept.where("false"), "at").count() == 0 and store.numbered(store.materialise(kept.where("false"), "none"), "at").count() == 0
+
+
+def test_near_duplicates_of_texts_that_share_nothing(spark):
+    docs = frame(spark, [" ".join(f"{p}{i}" for i in range(20)) for p in "abc"] + ["a0 a1", "a0 a1"])
+    assert [r.component_id for r in jaccard.near_duplicates(docs).orderBy("id").collect()] == [0, 1, 2, 3, 3]
