@@ -33,18 +33,18 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
         found = jaccard.near_duplicates(docs, shingle=STAGE_SHINGLE, numerator=STAGE_NUMERATOR, denominator=STAGE_DENOMINATOR)
         found = found.where("NOT kept OR (repeats > 1 AND n_shingles > 0)").select("id", "th1", "th2", "kept").distinct()
         found = store.materialise(found, "decisions", keep=True)
-    columns = [F.col(c) for c in docs.columns]
-    named = docs.select(*columns, *store.text_keys("text"))
+    # Texts of which no row goes stay where they are.
+    met, clear = store.apart(docs.select(*[F.col(c) for c in docs.columns], *store.text_keys("text")), found, "th1")
 
     def same(part: DataFrame):
-        return named["doc_id"].eqNullSafe(part["id"]) & (named["th1"] == part["th1"]) & (named["th2"] == part["th2"])
+        return met["doc_id"].eqNullSafe(part["id"]) & (met["th1"] == part["th1"]) & (met["th2"] == part["th2"])
 
     once = found.where("kept")
-    left = named.join(found, same(found), "left_anti").select(*docs.columns)
+    left = clear.unionByName(met.join(found, same(found), "left_anti")).select(*docs.columns)
     if once.isEmpty():
         return left
     # Equal rows are combined before they are moved, so many of them are no burden to one task.
-    again = named.join(once, same(once), "left_semi").groupBy("doc_id", "th1", "th2").agg(F.max(F.struct(*docs.columns)).alias("row"))
+    again = met.join(once, same(once), "left_semi").groupBy("doc_id", "th1", "th2").agg(F.max(F.struct(*docs.columns)).alias("row"))
     return left.unionByName(again.select("row.*").select(*docs.columns))
 
 
@@ -57,9 +57,9 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
         found = decontaminate.report(decontaminate.find(docs, queries.table(spark, sf_dir, "benchmark")), "th1", "th2")
         gone = found.where("contaminated").select(F.col("doc_id").alias("_id"), "th1", "th2").distinct()
         gone = store.materialise(gone, "contaminated", keep=True)
-    named = docs.select(*[F.col(c) for c in docs.columns], *store.text_keys("text"))
-    left = named.join(gone, named["doc_id"].eqNullSafe(gone["_id"]) & (named["th1"] == gone["th1"]) & (named["th2"] == gone["th2"]), "left_anti")
-    return left.select(*docs.columns)
+    met, clear = store.apart(docs.select(*[F.col(c) for c in docs.columns], *store.text_keys("text")), gone, "th1")
+    left = met.join(gone, met["doc_id"].eqNullSafe(gone["_id"]) & (met["th1"] == gone["th1"]) & (met["th2"] == gone["th2"]), "left_anti")
+    return clear.unionByName(left).select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -127,3 +127,22 @@ def numbered(df: DataFrame, name: str) -> DataFrame:
 def text_keys(text: str) -> list[Column]:
     """th1 and th2: 128 bits that equal texts share (null ones too), without leaving the JVM."""
     return [F.xxhash64(F.lit(1), F.col(text)).alias("th1"), F.xxhash64(F.lit(2), F.lit("x"), F.col(text)).alias("th2")]
+
+
+#: Bits of the filter of ``apart`` for each value, and at most; where it is full, more rows count as met.
+BITS_PER_VALUE, MOST_BITS = 16, 1 << 26
+
+
+def apart(rows: DataFrame, values: DataFrame, column: str) -> tuple[DataFrame, DataFrame]:
+    """``rows`` in two: those whose value of a long column may be among ``values``', and those whose value is not.
+
+    The second are told by a broadcast filter of bounded size, so they need not be moved; to decide on the first is
+    left to a join. A null is among no values. Either part, or ``values``, may be empty.
+    """
+    size = min(max(1 << 10, 1 << (BITS_PER_VALUE * values.count()).bit_length()), MOST_BITS)
+    spot = F.pmod(F.col(column), F.lit(size))
+    word, bit = F.shiftright(spot, 6).cast("int"), F.pmod(spot, F.lit(64)).cast("int")
+    words = values.where(F.col(column).isNotNull()).select(word.alias("_word"), bit.alias("_bit")).groupBy("_word").agg(F.bit_or(F.expr("shiftleft(1L, _bit)")).alias("_bits"))
+    told = rows.withColumns({"_of": word, "_at": bit}).join(F.broadcast(words), F.col("_of") == F.col("_word"), "left")
+    met = F.coalesce(F.expr("shiftrightunsigned(_bits, _at) & 1") == 1, F.lit(False))
+    return told.where(met).select(*rows.columns), told.where(~met).select(*rows.columns)

@@ -436,6 +436,42 @@ def test_numbers_follow_the_files(spark):
     assert store.numbered(kept.where("false"), "at").count() == 0 and store.numbered(store.materialise(kept.where("false"), "none"), "at").count() == 0
 
 
+def shuffled(node):
+    """Rows that the exchanges of an executed plan have written, by their metrics."""
+    own = node.metrics().get("shuffleRecordsWritten")
+    inner = [node.children().apply(i) for i in range(node.children().size())]
+    inner += [node.executedPlan()] if node.nodeName() == "AdaptiveSparkPlan" else [node.plan()] if node.nodeName().endswith("QueryStage") else []
+    return (own.get().value() if own.isDefined() else 0) + sum(map(shuffled, inner))
+
+
+def test_pipeline_moves_only_texts_that_may_go(spark, small):
+    import corpus_pipeline as cp
+
+    item = queries.table(spark, small, "benchmark").orderBy(F.length("text").desc()).first().text
+    texts = [" ".join(f"w{i} x{i} y{i % 7}" for i in range(30 * k, 30 * k + 30)) for k in range(400)]
+    rows = [(i, t, "en", "s", 1) for i, t in enumerate([*texts, texts[0], texts[1], item, None])] + [(2, texts[2], "en", "s", 1)]
+    docs = store.materialise(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long"), "docs")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        for stage, gone in ((cp.drop_near_duplicates, {400, 401}), (cp.drop_contaminated, {402})):
+            left = stage(spark, docs, small)
+            got = Counter(r.doc_id for r in left.collect())
+            assert got == Counter({i: 1 + (i == 2 and stage is cp.drop_contaminated) for i in range(404) if i not in gone})
+            assert shuffled(left._jdf.queryExecution().executedPlan()) < 200
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_apart(spark):
+    rows = spark.range(-3000, 3000).select(F.xxhash64("id").alias("v"), "id").union(spark.createDataFrame([(None, 9999), (-1, -5000), (-(1 << 63), -5001)], "v long, id long"))
+    for wanted in (rows.where("id % 10 = 0 OR id < -4000 OR v IS NULL").select("v"), rows.where("false").select("v")):
+        met, clear = store.apart(rows, wanted, "v")
+        a, b = met.collect(), clear.collect()
+        assert sorted(r.id for r in a + b) == sorted(r.id for r in rows.collect()) and None not in {r.v for r in a}
+        assert {r.v for r in wanted.collect()} - {None} <= {r.v for r in a} and len(b) > 4000
+
+
 def test_near_duplicates_of_texts_that_share_nothing(spark):
     docs = frame(spark, [" ".join(f"{p}{i}" for i in range(20)) for p in "abc"] + ["a0 a1", "a0 a1"])
     assert [r.component_id for r in jaccard.near_duplicates(docs).orderBy("id").collect()] == [0, 1, 2, 3, 3]
