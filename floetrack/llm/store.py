@@ -139,10 +139,12 @@ def apart(rows: DataFrame, values: DataFrame, column: str) -> tuple[DataFrame, D
     The second are told by a broadcast filter of bounded size, so they need not be moved; to decide on the first is
     left to a join. A null is among no values. Either part, or ``values``, may be empty.
     """
-    size = min(max(1 << 10, 1 << (BITS_PER_VALUE * values.count()).bit_length()), MOST_BITS)
+    size = min(max(1 << 12, 1 << (BITS_PER_VALUE * values.count()).bit_length()), MOST_BITS)
     spot = F.pmod(F.col(column), F.lit(size))
-    word, bit = F.shiftright(spot, 6).cast("int"), F.pmod(spot, F.lit(64)).cast("int")
-    words = values.where(F.col(column).isNotNull()).select(word.alias("_word"), bit.alias("_bit")).groupBy("_word").agg(F.bit_or(F.expr("shiftleft(1L, _bit)")).alias("_bits"))
-    told = rows.withColumns({"_of": word, "_at": bit}).join(F.broadcast(words), F.col("_of") == F.col("_word"), "left")
-    met = F.coalesce(F.expr("shiftrightunsigned(_bits, _at) & 1") == 1, F.lit(False))
+    page, word, bit = F.shiftright(spot, 12).cast("int"), (F.shiftright(spot, 6) % 64).cast("int"), F.pmod(spot, F.lit(64)).cast("int")
+    words = values.where(F.col(column).isNotNull()).select(page.alias("_page"), word.alias("_word"), bit.alias("_bit")).groupBy("_page", "_word").agg(F.bit_or(F.expr("shiftleft(1L, _bit)")).alias("_bits"))
+    pages = words.groupBy("_page").agg(F.map_from_entries(F.collect_list(F.struct("_word", "_bits"))).alias("_map"))  # 64 words a row: few bytes beside the bits
+    pages = pages.select("_page", F.expr("transform(sequence(0, 63), i -> coalesce(_map[i], 0L))").alias("_words"))
+    told = rows.withColumns({"_of": page, "_in": word, "_at": bit}).join(F.broadcast(pages), F.col("_of") == F.col("_page"), "left")
+    met = F.coalesce(F.expr("shiftrightunsigned(_words[_in], _at) & 1") == 1, F.lit(False))
     return told.where(met).select(*rows.columns), told.where(~met).select(*rows.columns)
